@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adloom.operators import attribution, budget, calls as call_ops, leads, spend as spend_ops
+from adloom.schemas import INPUT
 from adloom.sources.tables import read_table
 
 AS_OF = "2024-01-31"
@@ -46,7 +47,7 @@ class Frames:
         self.now = F.to_timestamp(F.lit(NOW))
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.dir, name)
+        return read_table(self.spark, self.dir, name, INPUT[name])
 
     # ---- calls -------------------------------------------------------------------------
     @cached_property

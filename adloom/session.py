@@ -19,12 +19,16 @@ SETTINGS = {
 }
 
 
+# fixed at start-up; call-site capture makes every column expression slower to build
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app_name: str = "adloom", master: str | None = None, **extra: str) -> SparkSession:
     """Create (or fetch) a session; sizing is left to the cluster's own configuration."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,7 +62,3 @@ def data_gap(df: DataFrame, keys: Sequence[str], date_col: str, first: str, last
     have = df.select(*keys, F.trunc(date_col, "MM").alias("month")).distinct()
     return df.select(*keys).distinct().withColumn("month", months).join(have, [*keys, "month"], "left_anti")
 
-
-def all_pass(*checks: DataFrame) -> DataFrame:
-    """Stack boolean check results named `ok`."""
-    return reduce(DataFrame.unionByName, checks)

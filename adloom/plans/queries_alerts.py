@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from adloom.functions import scalars as S
+from adloom.operators.attribution import voice_calls, with_client
 from adloom.operators import alerts as A, board as B, heatmap as H, quality as Q
-from adloom.operators.spend import conversions_trailing, spend_trailing
-from adloom.plans.catalog import query, stack
+from adloom.operators.spend import SERVED_ELSEWHERE, actual_spend_mtd, conversions_trailing, spend_trailing
+from adloom.plans.catalog import query
 from adloom.plans.frames import Frames
 from adloom.plans.oracle import AS_OF, NOW, day, sql, stamp
 
@@ -93,18 +94,18 @@ def _(f: Frames) -> DataFrame:
     return A.url_problems(f.ad_policy)
 
 
-@query("overspend_forecast", "OP-13 DT-08", sql("line_spend order_cells", f"""
+@query("overspend_forecast", "OP-13 DT-08", sql("line_spend", f"""
   WITH mtd AS (SELECT account_name AS client, channel, CAST(sum(spend) AS DOUBLE) AS spent_mtd FROM line_spend
     WHERE date >= DATE '2024-01-01' AND date <= {AS_OF} GROUP BY 1, 2),
-  c AS (SELECT client, channel, CAST(sum(amount) AS DOUBLE) AS committed FROM order_cells WHERE year = 1998 AND month = 1 GROUP BY 1, 2)
+  c AS (SELECT account_name AS client, channel, CAST(sum(spend) AS DOUBLE) AS committed FROM line_spend
+    WHERE date BETWEEN DATE '2023-12-01' AND DATE '2023-12-31' GROUP BY 1, 2)
   SELECT client, channel, committed, spent_mtd, spent_mtd / 31 * 31 AS projected_eom FROM c JOIN mtd USING (client, channel)
   WHERE spent_mtd / 31 * 31 > committed * 1.10"""))
 def _(f: Frames) -> DataFrame:
-    from adloom.operators.spend import actual_spend_mtd
-
+    # last month's spend stands in for the commitment
     mtd = actual_spend_mtd(f.spend_unified, f.as_of).withColumn("spent_mtd", F.col("spent_mtd").cast("double"))
-    committed = f.committed.filter("year = 1998 AND month = 1").groupBy("client", "channel").agg(
-        F.sum("amount").cast("double").alias("committed"))
+    committed = f.spend_unified.filter("date BETWEEN '2023-12-01' AND '2023-12-31'").groupBy("client", "channel").agg(
+        F.sum("actual").cast("double").alias("committed"))
     return A.overspend_forecast(committed.join(mtd, ["client", "channel"]), f.as_of)
 
 
@@ -287,8 +288,6 @@ def _(f: Frames) -> DataFrame:
     (SELECT count(*) FROM call_base) AS rows_after,
     (SELECT count(*) FROM (SELECT ctm_account FROM mapping GROUP BY 1 HAVING count(DISTINCT client_name) > 1)) AS keys_with_many"""))
 def _(f: Frames) -> DataFrame:
-    from adloom.operators.attribution import voice_calls, with_client
-
     pre = voice_calls(f.ctm_calls)
     return Q.fanout_check(pre, with_client(pre, f.mapping), f.mapping, "ctm_account", "client_name")
 
@@ -303,8 +302,6 @@ def _(f: Frames) -> DataFrame:
   SELECT channel, count(*) FILTER (channel = 'lsa') AS suppressed, count(*) AS total FROM line_spend
   WHERE channel IN ('bing', 'lsa') GROUP BY 1"""))
 def _(f: Frames) -> DataFrame:
-    from adloom.operators.spend import SERVED_ELSEWHERE
-
     return Q.suppressed_rows(f.feeds["other"], F.lower("channel").isin(list(SERVED_ELSEWHERE)), ["channel"])
 
 

@@ -413,3 +413,198 @@ class Frames:
             A.phone_disapproved(self.call_assets, m, now),
             A.billing_problem(self.billing, m, now),
         )
+
+    # ---- registries ----------------------------------------------------------------------
+    @cached_property
+    def standards_log(self) -> DataFrame:
+        o = self.order_cells.join(self._customer_of_order, "order_key")
+        cust = F.col("cust")
+        return o.select(
+            F.concat(F.lit("std."), cust.cast("string")).alias("item_id"),
+            pick(F.col("channel"), {"google_ads": "Data Connections", "meta": "Targeting", "bing": "Ad Copy",
+                                    "nextdoor": "Landing Pages", "lsa": "House rules"}).alias("category"),
+            pick(F.col("o_orderstatus"), {"O": "Account", "P": "Campaign", "F": "Widget"}).alias("level"),
+            F.concat(F.lit("Item "), (cust % 50).cast("string")).alias("item"),
+            F.col("note").alias("position"),
+            F.when(F.col("amount") < 250000, F.concat(F.lit("Except "), F.col("channel"))).alias("exception"),
+            F.when(F.col("o_orderstatus") == "F", F.lit("pending")).otherwise(F.lit("confirmed")).alias("status"),
+            (F.col("order_key") % 10).cast("int").alias("sort_order"),
+            (F.col("amount") > 50000).alias("active"),
+            F.col("changed_by").alias("edited_by"),
+            F.col("changed_at").alias("created_at"),
+            "order_key",
+        )
+
+    @cached_property
+    def _customer_of_order(self) -> DataFrame:
+        return self.table("orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("cust"))
+
+    @cached_property
+    def cards_log(self) -> DataFrame:
+        return self.standards_log.select(
+            F.col("item_id").alias("card_id"),
+            pick(F.col("category"), {"Data Connections": "Ad copy", "Targeting": "Geo / scheduling"}).alias("pillar"),
+            F.col("exception").alias("topic"),
+            F.col("item").alias("title"),
+            F.col("position").alias("body"),
+            "status",
+            F.when(F.col("level") == "Account", F.lit("general")).otherwise(F.lit("brand")).alias("applies_to"),
+            "active",
+            "created_at",
+            "order_key",
+        )
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        cust = F.col("o_custkey")
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("id"),
+            pick(F.col("o_orderstatus"), {"O": "account", "P": "campaign", "F": "ad_group"}).alias("level"),
+            F.substring("o_orderpriority", 1, 1).cast("int").alias("status_id"),
+            F.concat(F.lit("Rule "), cust.cast("string")).alias("condition_text"),
+            F.when(cust % 3 == 0, F.lit("unless new")).alias("exception_text"),
+            F.when(cust % 2 == 0, F.lit("all")).otherwise(F.lit("any")).alias("match"),
+            pick(F.col("o_orderpriority"), {"1-URGENT": "brand", "2-HIGH": "service"}).alias("campaign_type"),
+        )
+
+    @cached_property
+    def conditions(self) -> DataFrame:
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("rule_id"),
+            F.col("l_linenumber").alias("position"),
+            (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("id"),
+            pick(F.col("l_returnflag"), {"R": "ctr", "A": "cvr", "N": "spend"}).alias("metric"),
+            pick(F.col("l_linenumber"), {1: "gt", 2: "gte", 3: "lt", 4: "lte", 5: "eq", 6: "neq", 7: "between"})
+            .alias("operator"),
+            F.col("l_quantity").alias("threshold"),
+            F.when(F.col("l_linestatus") == "O", F.col("l_quantity") + 10).alias("threshold_high"),
+            F.lit("%").alias("unit"),
+            F.lit(30).alias("window_days"),
+        )
+
+    @cached_property
+    def statuses(self) -> DataFrame:
+        return self.table("region").select(
+            (F.col("r_regionkey") + 1).alias("id"), F.col("r_name").alias("label"),
+            F.concat(F.lit("#00000"), F.col("r_regionkey").cast("string")).alias("color"), F.col("r_regionkey").alias("rank"),
+        )
+
+    # ---- access --------------------------------------------------------------------------
+    @cached_property
+    def users_log(self) -> DataFrame:
+        o = self.order_cells.join(self._customer_of_order, "order_key")
+        cust = F.col("cust")
+        return o.select(
+            F.concat(F.when(F.col("o_orderstatus") == "O", F.lit("USER")).otherwise(F.lit("User")), cust.cast("string"),
+                     F.lit("@example.com")).alias("email"),
+            F.concat(F.lit("User "), cust.cast("string")).alias("display_name"),
+            F.lit("Analyst").alias("job_title"),
+            F.lit("Agency").alias("agency"),
+            pick(F.col("channel"), {"google_ads": "admin", "meta": "executive", "bing": "account_manager",
+                                    "nextdoor": "analyst", "lsa": "contractor"}).alias("role"),
+            (F.col("o_orderstatus") != "F").alias("active"),
+            F.when(cust % 3 == 0, F.array(F.lit("budgets.history"), F.lit("kpi.view")))
+            .when(cust % 3 == 2, F.array(F.lit("budgets.edit"))).alias("extra_capabilities"),
+            F.when(cust % 4 == 0, F.array(F.lit("budgets.view"))).alias("revoked_capabilities"),
+            F.col("changed_at").alias("updated_at"),
+        )
+
+    @cached_property
+    def users(self) -> DataFrame:
+        from adloom.operators.access import current_users
+
+        return current_users(self.users_log)
+
+    @cached_property
+    def roles(self) -> DataFrame:
+        rows = [
+            ("admin", ["*"]),
+            ("executive", ["budgets.view", "budgets.history", "kpi.view"]),
+            ("account_manager", ["budgets.view", "budgets.edit"]),
+            ("analyst", ["budgets.view"]),
+            ("developer", ["admin.console"]),
+            ("client", []),
+        ]
+        return self.spark.createDataFrame(rows, "role string, capabilities array<string>")
+
+    @cached_property
+    def audit_events(self) -> DataFrame:
+        return self.table("events").select(
+            F.col("event_id").cast("string").alias("event_id"),
+            F.col("event_type").alias("action"),
+            F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("target_email"),
+            F.col("props").alias("detail"),
+            F.lit("admin@example.com").alias("changed_by"),
+            F.unix_timestamp(F.col("ts").cast("timestamp")).alias("changed_at"),
+        )
+
+    # ---- work items ----------------------------------------------------------------------
+    @cached_property
+    def tasks(self) -> DataFrame:
+        key, price, start = F.col("o_orderkey"), F.col("o_totalprice"), F.to_date("o_orderdate")
+        return self.table("orders").select(
+            F.concat(F.lit("T"), key.cast("string")).alias("task_id"),
+            F.concat(F.lit("s"), F.substring("o_orderpriority", 1, 1)).alias("stage"),
+            F.substring("o_orderpriority", 1, 1).cast("int").alias("stage_order"),
+            F.concat(F.when(price > 400000, F.lit("Acceptance ")).otherwise(F.lit("Build ")), key.cast("string")).alias("title"),
+            pick((F.col("o_custkey") % 3).cast("int"), {0: "ana", 1: "ben", 2: "team"}).alias("owner"),
+            F.when(F.col("o_orderstatus") == "F", F.lit("done")).when(F.col("o_orderstatus") == "O", F.lit("in_progress"))
+            .when(price < 100000, F.lit("blocked")).when(price < 150000, F.lit("dropped")).otherwise(F.lit("todo")).alias("status"),
+            start.alias("planned_start"),
+            F.date_add(start, 14).alias("planned_end"),
+            ((price > 300000) & (F.col("o_orderstatus") != "F")).alias("late"),
+        )
+
+    @cached_property
+    def ticket_items(self) -> DataFrame:
+        turn, conv = F.col("turn"), F.col("conv_id")
+        none = F.lit(None).cast("string")
+        links = lambda *ids: F.array(*[F.struct(i.cast("string").alias("id"), F.lit("c").alias("name")) for i in ids])
+        no_links = F.array().cast("array<struct<id:string,name:string>>")
+
+        def value(id, text=none, label=none, index=none, is_done=F.lit(None).cast("boolean"), color=none, date=none, linked=no_links):
+            return F.struct(id.alias("id"), text.alias("text"), label.alias("label"), index.alias("index"), is_done.alias("is_done"),
+                            color.alias("color"), date.alias("date"), linked.alias("linked_items"))
+
+        label = pick((turn % 4).cast("int"), {0: "Open", 1: "Working", 3: "Done"})
+        return self.table("conversations").select(
+            (conv * 1000 + turn).alias("id"),
+            F.concat(F.lit("Ticket "), conv.cast("string")).alias("name"),
+            F.col("role").alias("board_id"),
+            F.array(
+                value(F.concat(F.lit("client_"), F.col("role")), linked=links(conv % 50, conv % 7)),
+                value(F.concat(F.lit("status_"), F.col("role")), text=F.lit("Stuck"), label=label,
+                      index=turn.cast("string"), is_done=(turn % 4 == 3), color=F.when(turn % 5 != 0, F.lit("#00ff00"))),
+                value(F.lit("date4"), date=F.when(turn % 3 != 0, F.concat(F.lit("2024-02-0"), (turn % 9 + 1).cast("string")))),
+            ).alias("column_values"),
+        )
+
+    @cached_property
+    def boards(self) -> DataFrame:
+        return self.spark.createDataFrame(
+            [(r, f"Board {r}", f"client_{r}", f"status_{r}", f"https://tickets.example.com/{r}/") for r in ("user", "assistant")],
+            "board_id string, board_name string, client_col string, status_col string, url_prefix string",
+        )
+
+    @cached_property
+    def done_statuses(self) -> DataFrame:
+        return self.spark.createDataFrame([("user", "4"), ("assistant", "1"), ("assistant", "5")],
+                                          "board_id string, status_index string")
+
+    @cached_property
+    def campaign_weeks(self) -> DataFrame:
+        """Weekly campaign statistics with the previous available week's conversions."""
+        from pyspark.sql import Window
+
+        weekly = self.line_spend.groupBy(
+            F.col("customer_id").cast("bigint").alias("campaign"), F.trunc("date", "week").alias("week")
+        ).agg(
+            (F.sum("spend").cast("double") / 100).alias("cost"),
+            F.count_if(F.col("channel") == "google_ads").alias("conv"),
+            F.sum("conversions").cast("bigint").alias("clicks"),
+        )
+        w = Window.partitionBy("campaign").orderBy("week")
+        return weekly.select(
+            "*", pick((F.col("campaign") % 3).cast("int"), {0: 200.0, 1: 500.0, 2: 800.0}).alias("bench"),
+            F.lag("conv").over(w).alias("prev_conv"),
+        )

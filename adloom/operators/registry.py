@@ -96,10 +96,14 @@ def registry_summary(df: DataFrame) -> DataFrame:
     return df.agg(total.alias("total"), (total - pending).alias("confirmed"), pending.alias("pending"))
 
 
-def rule_summary(rules: DataFrame) -> DataFrame:
-    computable = F.count_if(F.size("conditions") > 0)
+def rule_summary(rules: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Rules with at least one condition can be computed; counted without nesting them."""
+    backed = conditions.select(F.col("rule_id").alias("id")).distinct().withColumn("_backed", F.lit(True))
+    computable = F.count("_backed")
     total = F.count(F.lit(1))
-    return rules.agg(total.alias("total"), computable.alias("computable"), (total - computable).alias("text_only"))
+    return rules.join(backed, "id", "left").agg(
+        total.alias("total"), computable.alias("computable"), (total - computable).alias("text_only")
+    )
 
 
 CONDITION_FIELDS = ["position", "id", "metric", "operator", "threshold", "threshold_high", "unit", "window_days"]

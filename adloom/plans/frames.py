@@ -608,3 +608,179 @@ class Frames:
             "*", pick((F.col("campaign") % 3).cast("int"), {0: 200.0, 1: 500.0, 2: 800.0}).alias("bench"),
             F.lag("conv").over(w).alias("prev_conv"),
         )
+
+    # ---- landed responses ----------------------------------------------------------------
+    @cached_property
+    def social_accounts(self) -> DataFrame:
+        return self.table("supplier").select(
+            F.col("s_suppkey").cast("string").alias("account_id"), F.col("s_name").alias("name"),
+            F.when(F.col("s_acctbal") > 0, F.lit(1)).otherwise(F.lit(2)).alias("account_status"),
+        )
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        """Campaign-day records as parsed from landed JSON text."""
+        from adloom.sources.landed import INSIGHT_SCHEMA
+
+        raw = self.line_spend.filter("channel = 'meta'").select(F.to_json(F.struct(
+            F.col("customer_id").alias("account_id"),
+            F.concat(F.lit("Campaign "), F.col("campaign_id").cast("string")).alias("campaign_name"),
+            F.col("date").cast("string").alias("date_start"),
+            F.when(F.col("conversions") > 3, F.col("spend").cast("decimal(12,2)").cast("string")).alias("spend"),
+        )).alias("value"))
+        return raw.select(F.from_json("value", INSIGHT_SCHEMA).alias("r")).select("r.*")
+
+    @cached_property
+    def advertisers(self) -> DataFrame:
+        zone = pick(F.col("s_nationkey"), {1: "America/Chicago", 2: "America/Los_Angeles", 3: "Asia/Tokyo", 4: "Mars/Base"})
+        return self.table("supplier").select(
+            F.col("s_suppkey").cast("string").alias("advertiser_id"), F.col("s_name").alias("name"), F.lit("USD").alias("currency"),
+            F.when(F.col("s_acctbal") < 0, F.lit("NO_ACCESS")).when(F.col("s_acctbal") < 5000, F.lit("ADMIN")).alias("role"),
+            zone.alias("timezone"),
+        )
+
+    @cached_property
+    def zones(self) -> DataFrame:
+        names = ["America/New_York", "America/Chicago", "America/Los_Angeles", "Asia/Tokyo", "UTC"]
+        return self.spark.createDataFrame([(z,) for z in names], "zone string")
+
+    @cached_property
+    def advertiser_stats(self) -> DataFrame:
+        """Account-day statistics with money as text, as landed."""
+        from adloom.sources.landed import STATS_SCHEMA
+
+        daily = self.line_spend.filter("channel = 'nextdoor'").groupBy("customer_id", "date").agg(
+            F.sum("spend").alias("spend"), F.sum("conversions").cast("bigint").alias("q"), F.count(F.lit(1)).alias("n"))
+        usd = lambda c: F.concat(F.lit("USD "), c.cast("string"))
+        raw = daily.select(
+            F.col("customer_id").alias("advertiser_id"), F.col("date").cast("string").alias("report_date"),
+            F.to_json(F.struct(
+                F.when(F.col("q") < 5, F.lit("n/a")).otherwise(usd(F.col("spend"))).alias("billable_spend"),
+                F.when(F.col("q") > 10, F.col("q") * 10).alias("impressions"),
+                F.when(F.col("q") > 3, F.col("q")).alias("clicks"),
+                usd(F.col("n")).alias("cpc"), F.lit("").alias("cpm"), F.col("n").alias("total_conversions"),
+            )).alias("value"))
+        return raw.select("advertiser_id", "report_date", F.from_json("value", STATS_SCHEMA).alias("r")).select(
+            "advertiser_id", "report_date", "r.*")
+
+    @cached_property
+    def policy_records(self) -> DataFrame:
+        topics = F.when(F.col("l_linenumber") == 1, F.array(F.lit("DESTINATION_NOT_WORKING"), F.lit(None).cast("string"), F.lit("ALCOHOL"))) \
+            .when(F.col("l_linenumber") == 2, F.array().cast("array<string>")).when(F.col("l_linenumber") < 6, F.array(F.lit("TRADEMARKS")))
+        return self.table("lineitem").select(
+            (F.col("l_partkey") % 97).alias("customer_id"), F.col("l_partkey").alias("campaign_id"),
+            F.concat(F.lit("Campaign "), F.col("l_partkey").cast("string")).alias("campaign_name"),
+            F.col("l_suppkey").alias("ad_group_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ad_id"),
+            pick(F.col("l_returnflag"), {"R": "DISAPPROVED", "A": "APPROVED_LIMITED", "N": "APPROVED"}).alias("approval_status"),
+            F.lit("REVIEWED").alias("review_status"),
+            F.when(F.col("l_linestatus") == "O", F.lit("ENABLED")).otherwise(F.lit("PAUSED")).alias("campaign_status"),
+            topics.alias("topics"),
+        )
+
+    # ---- diagnosis -----------------------------------------------------------------------
+    @cached_property
+    def campaign_stats(self) -> DataFrame:
+        s = self.line_spend
+        kind = F.when((F.col("channel") == "lsa"), F.lit("LOCAL_SERVICES")).otherwise(F.lit("SEARCH"))
+        brand = F.when(F.col("channel").isin("google_ads", "meta"), F.lit("Brand ")).otherwise(F.lit("Service "))
+        return s.select(
+            F.col("date").alias("segments_date"), "customer_id",
+            kind.alias("campaign_advertising_channel_type"),
+            F.concat(brand, F.col("campaign_id").cast("string")).alias("campaign_name"),
+            (F.col("spend") * 1000000).cast("bigint").alias("metrics_cost_micros"),
+            F.col("conversions").cast("bigint").alias("metrics_clicks"),
+            (F.col("conversions") * 20 + F.col("campaign_id") % 50).cast("bigint").alias("metrics_impressions"),
+            F.when(F.col("conversions") > 25, 2).when(F.col("conversions") > 10, 1).otherwise(0).cast("bigint")
+            .alias("metrics_conversions"),
+        )
+
+    @cached_property
+    def account_daily(self) -> DataFrame:
+        from adloom.operators.diagnosis import account_type_daily
+
+        return account_type_daily(self.campaign_stats)
+
+    @cached_property
+    def account_30d(self) -> DataFrame:
+        from adloom.operators.diagnosis import account_type_window
+
+        return account_type_window(self.account_daily, self.as_of, 30)
+
+    @cached_property
+    def search_terms(self) -> DataFrame:
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("term"))
+        li = self.table("lineitem").join(part, "l_partkey")
+        return li.select(
+            F.col("l_suppkey").cast("string").alias("account_id"),
+            F.when(F.col("l_linestatus") == "O", F.lit("brand")).otherwise(F.lit("service")).alias("campaign_type"),
+            F.date_add(F.to_date("l_shipdate"), SHIFT_DAYS).alias("spend_date"),
+            "term",
+            (F.col("l_linenumber") != 4).alias("term_visible"),
+            pick(F.col("l_returnflag"), {"R": "irrelevant", "A": "relevant", "N": "review"}).alias("relevance_class"),
+            F.when(F.col("l_tax") < 0.035, F.lit("relevant")).otherwise(F.lit("irrelevant")).alias("audited_class"),
+            F.when(F.col("l_discount") > 0.08, F.lit("nonconverting_pooled")).alias("geo_flag"),
+            F.when(F.col("l_tax") > 0.06, F.lit("nonconverting_pooled")).alias("hour_flag"),
+            (money("l_extendedprice") * (F.lit(1).cast("decimal(3,2)") - F.col("l_discount").cast("decimal(3,2)"))).alias("spend"),
+            F.col("l_quantity").cast("bigint").alias("clicks"),
+            (F.col("l_quantity") * 30).cast("bigint").alias("impressions"),
+            F.when(F.col("l_quantity") > 40, 1).otherwise(0).cast("bigint").alias("conversions"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ad_id"),
+            pick(F.col("l_linenumber"), {1: "EXCELLENT", 2: "GOOD", 3: "AVERAGE", 4: "POOR", 5: "PENDING"}).alias("ad_strength"),
+            F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")).alias("quality_score"),
+        )
+
+    @cached_property
+    def negatives(self) -> DataFrame:
+        """Every account blocks the same few phrases as its nation's accounts."""
+        words = pick((F.col("s_nationkey") % 5).cast("int"), {0: "Ring", 1: "red widget", 2: "widget  promo", 3: "in"})
+        return self.table("supplier").select(
+            F.col("s_suppkey").cast("string").alias("account_id"), F.coalesce(words, F.lit("blue bolt small")).alias("keyword"))
+
+    @cached_property
+    def phone_log(self) -> DataFrame:
+        return self.table("events").select(
+            (F.col("user_id")).alias("account_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("unix_time"),
+            F.floor("value").cast("int").alias("duration_seconds"), (F.col("event_type") != "view").alias("answered"))
+
+    @cached_property
+    def diagnosis_rules(self) -> DataFrame:
+        """One rule per nation row, spread over the stages."""
+        return self.table("nation").select(
+            F.col("n_nationkey").alias("rule_id"),
+            pick(F.col("n_regionkey"), {0: "eligible", 1: "visible", 2: "compelling", 3: "relevant", 4: "converting"}).alias("stage"),
+            F.when(F.col("n_nationkey") % 2 == 0, F.lit("all")).otherwise(F.lit("any")).alias("match"),
+            F.lit(0.1).alias("warn_pct"),
+            F.when(F.col("n_nationkey") % 3 == 0, F.lit("impressions")).alias("floor_metric"),
+            F.lit(1200.0).alias("floor_value"))
+
+    @cached_property
+    def diagnosis_conditions(self) -> DataFrame:
+        key = F.col("n_nationkey")
+        one = lambda m, o, lo, hi: F.struct(F.lit(m).alias("metric"), F.lit(o).alias("operator"), lo.alias("threshold"), hi.alias("threshold_high"))
+        both = F.array(
+            one("ctr", "lt", key * 0.0005 + 0.04, F.lit(None).cast("double")),
+            F.when(key % 2 == 0, one("cvr", "lte", key * 0.002 + 0.02, F.lit(None).cast("double")))
+            .otherwise(one("platform_cpa", "between", key * 1000.0, key * 1000.0 + 4000)),
+        )
+        return self.table("nation").select(key.alias("rule_id"), F.inline(both))
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        from adloom.operators import verdicts as V
+
+        metrics = V.long_metrics(self.account_30d, ["ctr", "cvr", "platform_cpa", "impressions"])
+        own = self.table("supplier").filter("s_acctbal > 8000").select(
+            F.col("s_suppkey").cast("string").alias("account_id"), F.lit(0).alias("rule_id"), F.lit("ctr").alias("metric"),
+            F.lit(0.2).alias("threshold"))
+        return V.evaluate_rules(metrics, self.diagnosis_rules, self.diagnosis_conditions, own)
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """Change windows: one per order of the account, two weeks long."""
+        day = F.date_add(F.to_date("o_orderdate"), SHIFT_DAYS)
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("change_id"),
+            (F.col("o_custkey") % 100).cast("string").alias("account_id"),
+            F.when(F.col("o_orderstatus") == "O", F.lit("ctr")).otherwise(F.lit("spend")).alias("target_metric"),
+            F.concat(F.lit("user"), (F.col("o_custkey") % 20).cast("string")).alias("changed_by"),
+            day.alias("change_date"), day.alias("window_opens"), F.date_add(day, 13).alias("window_closes"))

@@ -112,7 +112,7 @@ def _(f: Frames) -> DataFrame:
 @query("rule_summary", "AGG-31", sql("rule_registry", """
   SELECT count(*) AS total, count(*) FILTER (n > 0) AS computable, count(*) FILTER (n = 0) AS text_only FROM rule_registry"""))
 def _(f: Frames) -> DataFrame:
-    return R.rule_summary(_rules(f))
+    return R.rule_summary(f.rules, f.conditions)
 
 
 @query("validated_rules", "FLT-20", sql("rules conditions", """

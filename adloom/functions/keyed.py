@@ -67,6 +67,7 @@ def sequence_in_time(
 
 
 def share_of_max(df: DataFrame, value: str, out: str) -> DataFrame:
-    """value / max over the whole result; the maximum is a one-row subquery, not a global window."""
-    top = df.agg(F.max(value)).scalar()
+    """value / max over the whole result, for aggregates of fixed size only (168 hour cells, one
+    row per alert type): the global window then sees just those rows and nothing is read twice."""
+    top = F.max(value).over(Window.partitionBy())
     return df.withColumn(out, F.when(top > 0, F.col(value) / top).otherwise(F.lit(0.0)))

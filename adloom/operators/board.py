@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adloom.functions import labels as L, scalars as S
+from adloom.functions.keyed import share_of_max
 
 PAGE_SIZE = 25
 SEVERITY_ORDER = ["P0", "P1"]
@@ -100,10 +101,11 @@ def alert_metrics(alerts: DataFrame) -> DataFrame:
 def alert_by_type(alerts: DataFrame) -> DataFrame:
     """Counts per type (a handful of rows) with the percentage of the largest."""
     counts = alerts.groupBy("alert_type").agg(F.count(F.lit(1)).alias("alerts"))
-    top = F.greatest(counts.agg(F.max("alerts")).scalar(), F.lit(1))
     return (
-        counts.withColumn("pct_of_max", F.round(F.col("alerts") / top * 100).cast("int"))
+        share_of_max(counts, "alerts", "_share")
+        .withColumn("pct_of_max", F.round(F.col("_share") * 100).cast("int"))
         .withColumn("type_label", S.label_of(F.col("alert_type"), L.ALERT_LABELS))
+        .drop("_share")
         .orderBy(F.desc("alerts"), "alert_type")
     )
 

@@ -137,7 +137,10 @@ def mom_trend(rows: DataFrame, metric: str = "first_time", tolerance: float = 0.
 
 
 def latest_vs_previous(rows: DataFrame, metric: str = "first_time", tolerance: float = 0.03) -> DataFrame:
-    """Latest month of the whole data set against the month before it, per active client."""
+    """Latest month of the whole data set against the month before it, per active client.
+
+    rows is read twice (once for the months); pass it materialized when it is expensive.
+    """
     # the set of months is bounded by the calendar, so one small subquery serves both
     recent = rows.agg(F.slice(F.sort_array(F.collect_set("month"), asc=False), 1, 2)).scalar()
     marked = (

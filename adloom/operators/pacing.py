@@ -237,14 +237,17 @@ def target_with_catchup(pacing: DataFrame, catchup: str = "catchup") -> DataFram
     The catch-up amount is an input per client and month; status compares with the target.
     """
     client_month = Window.partitionBy("client", "year", "month")
-    committed = F.sum(_exact("committed")).over(client_month).cast("double")
-    actual = F.sum(_exact("actual")).over(client_month).cast("double")
-    target = committed + F.col(catchup)
-    return (
-        pacing.withColumn("channel_catchup", F.col(catchup) * S.ratio_or_zero(F.col("committed"), committed))
-        .withColumn("target", F.col("committed") + F.col("channel_catchup"))
-        .withColumn("client_target", target)
-        .withColumn("status", pacing_status(S.ratio_or_zero(actual, target)))
+    out = pacing.withColumns({
+        "_committed": F.sum(_exact("committed")).over(client_month).cast("double"),
+        "_actual": F.sum(_exact("actual")).over(client_month).cast("double"),
+    })
+    share = S.ratio_or_zero(F.col("committed"), F.col("_committed"))
+    return out.select(
+        *pacing.columns,
+        (F.col(catchup) * share).alias("channel_catchup"),
+        (F.col("committed") + F.col(catchup) * share).alias("target"),
+        (F.col("_committed") + F.col(catchup)).alias("client_target"),
+        pacing_status(S.ratio_or_zero(F.col("_actual"), F.col("_committed") + F.col(catchup))).alias("status"),
     )
 
 

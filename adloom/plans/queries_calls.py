@@ -9,6 +9,7 @@ from adloom.operators import attribution as A, calls as C, leads as L
 from adloom.plans.catalog import query
 from adloom.plans.frames import Frames
 from adloom.plans.oracle import AS_OF, day, sql, stamp
+from adloom.sinks.tables import materialize
 
 _ATTRIBUTED_COLUMNS = """call_id, client_key, client_name, google_ads_customer_id, account_id AS ctm_account_id, vertical,
   city_size, ga_cid, caller_hash, tracking_number_id, %s AS called_at_utc, %s AS called_at_local, %s AS call_date_local,
@@ -225,17 +226,21 @@ _LATEST = f"""
       ON a.client_name = b.client_name)"""
 
 
+def _latest(f: Frames) -> DataFrame:
+    return L.latest_vs_previous(materialize(f.cpl_rows, "cpl-rows"), "unique_callers")
+
+
 @query("cpl_latest_vs_previous", "WIN-06 SRT-03", sql("cpl_rows", f"""{_LATEST}
   SELECT *, {_TREND} FROM latest WHERE spend > 0 OR leads > 0"""))
 def _(f: Frames) -> DataFrame:
-    return L.most_expensive_first(L.latest_vs_previous(f.cpl_rows, "unique_callers"))
+    return L.most_expensive_first(_latest(f))
 
 
 @query("cpl_summary", "AGG-27", sql("cpl_rows", f"""{_LATEST}
   SELECT round(avg(cpl), 4) AS avg_cpl, CAST(sum(leads) AS BIGINT) AS total_leads, round(sum(spend), 2) AS total_spend,
     count(cpl) AS clients_with_cpl FROM latest WHERE spend > 0 OR leads > 0"""))
 def _(f: Frames) -> DataFrame:
-    out = L.cpl_summary(L.latest_vs_previous(f.cpl_rows, "unique_callers"))
+    out = L.cpl_summary(_latest(f))
     return out.withColumn("avg_cpl", F.round("avg_cpl", 4)).withColumn("total_spend", F.round("total_spend", 2))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, DecimalType, StringType, StructField, StructType
 
 from adloom.functions import scalars as S
 from adloom.operators.budget import HISTORY_COLUMNS
@@ -137,7 +137,12 @@ def _(f: Frames) -> DataFrame:
 
 
 # ---- table maintenance ------------------------------------------------------------------------
-_SOCIAL = StructType.fromDDL("customer_id string, campaign string, date date, cost decimal(28,4)")
+_SOCIAL = StructType([
+    StructField("customer_id", StringType()),
+    StructField("campaign", StringType()),
+    StructField("date", DateType()),
+    StructField("cost", DecimalType(28, 4)),
+])
 
 
 def _daily(f: Frames) -> DataFrame:

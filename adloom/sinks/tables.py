@@ -67,6 +67,14 @@ def load_staging(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that is used several times to the shared work folder and read it back.
+
+    It cuts the lineage, survives lost executors and is computed once.
+    """
+    return load_staging(df, work_dir(df.sparkSession, label))
+
+
 def ensure_table(spark: SparkSession, path: str, schema: StructType, partition: str) -> None:
     """Create an empty partitioned table unless it exists."""
     if not exists(spark, f"{path}/_SUCCESS") and not children(spark, path):

@@ -167,7 +167,7 @@ def url_problems(policy: DataFrame, calendar: DataFrame | None = None) -> DataFr
     return rows.groupBy("customer_id", "campaign_id").agg(
         F.min("campaign_name").alias("campaign_name"),
         F.count(F.lit(1)).alias("ad_count"),
-        F.array_join(F.array_sort(F.collect_set(reason)), ", ").alias("url_reason"),
+        F.array_join(F.sort_array(F.collect_set(reason)), ", ").alias("url_reason"),
     )
 
 

@@ -137,7 +137,7 @@ def pacing_context(pacing: DataFrame, month: int) -> DataFrame:
         channel_breakdown(pacing, month)
         .groupBy("client")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("channel", *[whole(c).alias(c) for c in ("committed", "actual", "variance")])
                 )

@@ -112,7 +112,7 @@ CONDITION_FIELDS = ["position", "id", "metric", "operator", "threshold", "thresh
 def rule_registry(rules: DataFrame, statuses: DataFrame, conditions: DataFrame) -> DataFrame:
     """Rules with their status and ordered conditions (a rule holds a handful of them)."""
     nested = conditions.groupBy(F.col("rule_id").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct(*CONDITION_FIELDS))).alias("conditions")
+        F.sort_array(F.collect_list(F.struct(*CONDITION_FIELDS))).alias("conditions")
     )
     labels = statuses.select(
         F.col("id").alias("status_id"),

@@ -7,6 +7,7 @@ from pyspark.sql.types import DateType, DecimalType, StringType, StructField, St
 
 from adloom.functions import scalars as S
 from adloom.operators.budget import HISTORY_COLUMNS
+from adloom.operators.triage import campaign_triage
 from adloom.plans.catalog import query
 from adloom.plans.frames import Frames
 from adloom.plans.oracle import AS_OF, day, sql, stamp
@@ -136,6 +137,19 @@ def _(f: Frames) -> DataFrame:
     return P.payload_items(raw, "raw", "channel:string,amount:double")
 
 
+@query("triage_documents", "SRC-16", sql("triaged", """
+  SELECT CAST(campaign AS VARCHAR) AS campaign_name, cost, clicks, cpa, status FROM triaged"""))
+def _(f: Frames) -> DataFrame:
+    # one document per campaign with its weeks as items
+    item = F.struct(F.col("campaign").cast("string").alias("campaign_name"), "cost", "clicks", "cpa", "status",
+                    F.array(F.lit(-1.0), F.col("cost")).alias("cpa_history"))
+    docs = campaign_triage(f.campaign_weeks).groupBy("campaign").agg(F.collect_list(item).alias("items"))
+    path = work_dir(f.spark, "triage")
+    docs.select("items").write.json(path)
+    rows = P.read_triage_items(f.spark, path, multi_line=False)
+    return rows.filter(F.get("cpa_history", F.lit(0)).isNull()).select("campaign_name", "cost", "clicks", "cpa", "status")
+
+
 # ---- table maintenance ------------------------------------------------------------------------
 _SOCIAL = StructType([
     StructField("customer_id", StringType()),

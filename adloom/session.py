@@ -16,6 +16,9 @@ SETTINGS = {
     # keep join salting effective: never co-partition on a subset of the join keys
     "spark.sql.requireAllClusterKeysForCoPartition": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # streaming state on local disk instead of the executors' heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

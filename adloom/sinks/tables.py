@@ -88,12 +88,11 @@ def read_partitioned(spark: SparkSession, path: str, schema: StructType) -> Data
 def _write_partitions(df: DataFrame, path: str, partition: str, cluster: Sequence[str] = ()) -> None:
     """Replace exactly the partitions present in df.
 
-    Hashing on the partition value and a spread of the cluster key keeps the number of files
-    per partition small without funnelling one large date through one task.
+    The rebalance hint lets adaptive execution gather each date into few files, merge small
+    dates and split a date that holds most of the rows, all by measured size.
     """
-    spread = F.pmod(F.xxhash64(*cluster), F.lit(16)) if cluster else F.lit(0)
     (
-        df.repartition(F.col(partition), spread)
+        df.hint("rebalance", F.col(partition))
         .sortWithinPartitions(partition, *cluster)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -102,6 +101,28 @@ def _write_partitions(df: DataFrame, path: str, partition: str, cluster: Sequenc
     )
 
 
+class _Work:
+    """Written intermediates of one job; dropped when the job has succeeded, kept when it fails."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = work_dir(self.spark, self.label)
+        out = load_staging(df, path)
+        self.paths.append(path)
+        return out
+
+    def __enter__(self) -> _Work:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            for path in self.paths:
+                fs, p = _fs(self.spark, path)
+                fs.delete(p, True)
+
+
 # ---- range replace ---------------------------------------------------------------------
 def replaced_range(target: DataFrame, staged: DataFrame, date_col: str, since: Column, until: Column) -> DataFrame:
     """DELETE the range, INSERT what was staged; an empty pull changes nothing."""
@@ -119,21 +140,22 @@ def replace_range(
     Cost follows the range, not the table. New partitions are written before vanished ones are
     dropped, and repeating the call gives the same table.
     """
-    work = load_staging(staged.select(*schema.names), work_dir(spark, "replace-range"))
-    if work.isEmpty():
-        return False
     in_range = F.col(date_col).between(F.lit(since), F.lit(until))
-    stray_dates = work.filter(~in_range).select(date_col).distinct()
-    kept = read_partitioned(spark, path, schema).filter(~in_range).join(stray_dates, date_col, "left_semi")
-    out = load_staging(work.unionByName(kept.select(*schema.names)), work_dir(spark, "replace-range"))
-    _write_partitions(out, path, date_col, cluster)
-    # one row per calendar day of the range: bounded by the look-back, not by the data
-    filled = {str(r[0]) for r in work.filter(in_range).select(date_col).distinct().collect()}
-    for name in children(spark, path):
-        if name.startswith(f"{date_col}="):
-            day = name.split("=", 1)[1]
-            if str(since) <= day <= str(until) and day not in filled:
-                _drop_partition(spark, path, date_col, day)
+    with _Work(spark, "replace-range") as job:
+        work = job.write(staged.select(*schema.names))
+        if work.isEmpty():
+            return False
+        stray_dates = work.filter(~in_range).select(date_col).distinct()
+        kept = read_partitioned(spark, path, schema).filter(~in_range).join(stray_dates, date_col, "left_semi")
+        out = job.write(work.unionByName(kept.select(*schema.names)))
+        _write_partitions(out, path, date_col, cluster)
+        # one row per calendar day of the range: bounded by the look-back, not by the data
+        filled = {str(r[0]) for r in work.filter(in_range).select(date_col).distinct().collect()}
+        for name in children(spark, path):
+            if name.startswith(f"{date_col}="):
+                day = name.split("=", 1)[1]
+                if str(since) <= day <= str(until) and day not in filled:
+                    _drop_partition(spark, path, date_col, day)
     return True
 
 
@@ -172,11 +194,12 @@ def merge_upsert(
     partitions present in the staged rows are read and rewritten."""
     if partition not in keys:
         raise ValueError("the partition column must be part of the key")
-    work = load_staging(staged, work_dir(spark, "merge"))
-    touched = work.select(partition).distinct()
-    target = read_partitioned(spark, path, schema).join(touched, partition, "left_semi").select(*schema.names)
-    out = load_staging(merged(target, work, keys, now, set_cols, newest), work_dir(spark, "merge"))
-    _write_partitions(out, path, partition, [k for k in keys if k != partition])
+    with _Work(spark, "merge") as job:
+        work = job.write(staged)
+        touched = work.select(partition).distinct()
+        target = read_partitioned(spark, path, schema).join(touched, partition, "left_semi").select(*schema.names)
+        out = job.write(merged(target, work, keys, now, set_cols, newest))
+        _write_partitions(out, path, partition, [k for k in keys if k != partition])
 
 
 def upsert_by_id(
@@ -188,19 +211,18 @@ def upsert_by_id(
     The staged keys locate the partitions that hold old versions; those and the new ones are
     rewritten, everything else stays untouched.
     """
-    work = load_staging(staged, work_dir(spark, "upsert"))
-    table = read_partitioned(spark, path, schema)
-    old_parts = table.join(work.select(*keys).distinct(), list(keys), "left_semi").select(partition)
-    touched = load_staging(
-        old_parts.union(work.select(partition)).distinct(), work_dir(spark, "upsert")
-    )
-    target = table.join(touched, partition, "left_semi").select(*schema.names)
-    out = load_staging(merged(target, work, keys, now, None, newest), work_dir(spark, "upsert"))
-    _write_partitions(out, path, partition, list(keys))
-    left = {str(r[0]) for r in out.select(partition).distinct().collect()}
-    for (value,) in touched.collect():  # one row per touched calendar day
-        if str(value) not in left:
-            _drop_partition(spark, path, partition, str(value))
+    with _Work(spark, "upsert") as job:
+        work = job.write(staged)
+        table = read_partitioned(spark, path, schema)
+        old_parts = table.join(work.select(*keys).distinct(), list(keys), "left_semi").select(partition)
+        touched = job.write(old_parts.union(work.select(partition)).distinct())
+        target = table.join(touched, partition, "left_semi").select(*schema.names)
+        out = job.write(merged(target, work, keys, now, None, newest))
+        _write_partitions(out, path, partition, list(keys))
+        left = {str(r[0]) for r in out.select(partition).distinct().collect()}
+        for (value,) in touched.collect():  # one row per touched calendar day
+            if str(value) not in left:
+                _drop_partition(spark, path, partition, str(value))
 
 
 def accumulate_snapshot(
@@ -220,8 +242,8 @@ def new_rows(log: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def append_event(spark: SparkSession, path: str, rows: DataFrame, schema: StructType, key: str = "event_id") -> None:
     """Append with id de-duplication, so a retried request adds nothing."""
     log = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-    fresh = load_staging(new_rows(log, rows, key), work_dir(spark, "append"))
-    fresh.write.mode("append").parquet(path)
+    with _Work(spark, "append") as job:
+        job.write(new_rows(log, rows, key)).write.mode("append").parquet(path)
 
 
 def tombstones_for(ids: DataFrame, by: Column, at: Column) -> DataFrame:

@@ -39,9 +39,13 @@ def payload_items(df: DataFrame, raw: str, item_schema: str) -> DataFrame:
     return df.select(*keep, F.inline(parsed["items"]))
 
 
-def read_triage_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a landed triage document; -1 in a history means no conversions."""
-    doc = spark.read.schema(TRIAGE_SCHEMA).option("multiLine", True).json(path)
+def read_triage_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Items of landed triage documents; -1 in a history means no conversions.
+
+    One pretty-printed document per file is read whole by one task; land one document per line
+    (multi_line=False) when there is more than a page of them.
+    """
+    doc = spark.read.schema(TRIAGE_SCHEMA).option("multiLine", multi_line).json(path)
     return doc.select(F.inline("items")).withColumn(
         "cpa_history", F.transform("cpa_history", lambda v: F.when(v >= 0, v))
     )

@@ -75,8 +75,17 @@ def percent_text(col: Column) -> Column:
 
 
 # ---- numbers ------------------------------------------------------------------------
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number(col: Column) -> Column:
+    """A plain decimal number; casts alone would also accept '5d' or 'NaN'."""
+    text = col.cast("string")
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+
+
 def number_or_zero(col: Column) -> Column:
-    return F.coalesce(col.try_cast("double"), F.lit(0.0))
+    return F.coalesce(number(col), F.lit(0.0))
 
 
 def parse_money(col: Column) -> Column:

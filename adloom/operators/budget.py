@@ -98,7 +98,7 @@ def _blank(name: str) -> Column:
 
 
 def _not_whole(name: str, low: int, high: int) -> Column:
-    number = F.col(name).try_cast("double")
+    number = S.number(F.col(name))
     return F.coalesce((number != F.floor(number)) | (number < low) | (number > high), F.lit(True))
 
 
@@ -110,7 +110,7 @@ def validate_event(df: DataFrame) -> DataFrame:
     error = (
         error.when(_not_whole("year", 2020, 2100), F.lit("year must be a valid integer"))
         .when(_not_whole("month", 1, 12), F.lit("month must be 1-12"))
-        .when(F.col("amount").try_cast("double").isNull(), F.lit("amount must be a number"))
+        .when(S.number(F.col("amount")).isNull(), F.lit("amount must be a number"))
         .when(
             ~F.col("event_type").isin(L.EVENT_TYPES),
             F.lit("event_type must be one of " + ", ".join(L.EVENT_TYPES)),

@@ -43,6 +43,11 @@ def parity(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, t
     )
 
 
+def ids_missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Ids of one feed that the other does not know."""
+    return left.select(key).distinct().join(right.select(key), key, "left_anti")
+
+
 def channel_coverage(spend: DataFrame, expected: Sequence[str] = tuple(L.CHANNEL_LABELS)) -> DataFrame:
     """Is every expected channel present in a spend product?"""
     wanted = spend.sparkSession.createDataFrame([(c,) for c in expected], "channel string")

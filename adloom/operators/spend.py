@@ -58,6 +58,12 @@ def resolve_client(df: DataFrame, crosswalk: DataFrame) -> DataFrame:
     )
 
 
+def join_by_normalized_name(left: DataFrame, left_name: str, right: DataFrame, right_name: str) -> DataFrame:
+    """Left join on names that differ in case and outer blanks only."""
+    keyed = right.withColumn("_name", F.lower(F.trim(right_name))).drop(right_name)
+    return left.withColumn("_name", F.lower(F.trim(left_name))).join(keyed, "_name", "left").drop("_name")
+
+
 def _account_daily(feeds: Mapping[str, DataFrame]) -> DataFrame:
     """Pre-aggregate to account, channel and day before any name lookup."""
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from adloom.functions import labels as L, scalars as S
-from adloom.operators import budget as B, pacing as P, spend as SP
+from adloom.operators import budget as B, pacing as P, quality as Q, spend as SP
 from adloom.plans.catalog import query
 from adloom.plans.frames import PACING_MONTH, PACING_YEAR, Frames, client_name
 from adloom.plans.oracle import AS_OF, day, name_of, sql, stamp
@@ -89,17 +89,15 @@ def _(f: Frames) -> DataFrame:
   SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS customer_id FROM orders
   WHERE o_custkey NOT IN (SELECT l_suppkey FROM lineitem)"""))
 def _(f: Frames) -> DataFrame:
-    budgeted = f.call_assets.select("customer_id").distinct()
-    return budgeted.join(f.spend_combined.select("customer_id").distinct(), "customer_id", "left_anti")
+    return Q.ids_missing(f.call_assets, f.spend_combined, "customer_id")
 
 
 @query("normalized_name_join", "JN-13", sql("pacing mapping", """
   SELECT p.client, p.channel, p.month, p.committed, m.account_manager FROM pacing p
   LEFT JOIN mapping m ON lower(trim(p.client)) = lower(trim('  ' || upper(m.client_name) || ' '))"""))
 def _(f: Frames) -> DataFrame:
-    m = f.mapping.select(F.concat(F.lit("  "), F.upper("client_name"), F.lit(" ")).alias("n"), "account_manager")
-    key = lambda c: F.lower(F.trim(F.col(c)))
-    joined = f.pacing.withColumn("_key", key("client")).join(m.select(key("n").alias("_key"), "account_manager"), "_key", "left")
+    messy = f.mapping.select(F.concat(F.lit("  "), F.upper("client_name"), F.lit(" ")).alias("client_name"), "account_manager")
+    joined = SP.join_by_normalized_name(f.pacing, "client", messy, "client_name")
     return joined.select("client", "channel", "month", "committed", "account_manager")
 
 
@@ -192,15 +190,15 @@ def _(f: Frames) -> DataFrame:
 
 
 @query("validated_tombstones", "FLT-23", sql("order_cells", """
-  WITH t AS (SELECT changed_by AS batch_id, CASE WHEN event_type = 'delete' THEN 'x' || event_id ELSE event_id END AS event_id
-    FROM order_cells WHERE amount < 60000),
+  WITH t AS (SELECT changed_by || '-' || year AS batch_id, CASE WHEN event_type = 'delete' THEN 'x' || event_id ELSE event_id END AS event_id
+    FROM order_cells),
   n AS (SELECT batch_id, count(*) AS size FROM t GROUP BY 1)
   SELECT batch_id, event_id, CASE WHEN size > 100 THEN 'Max 100 events per delete'
     WHEN NOT regexp_full_match(event_id, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') THEN 'Invalid event_id' END AS error
   FROM t JOIN n USING (batch_id)"""))
 def _(f: Frames) -> DataFrame:
-    rows = f.order_cells.filter("amount < 60000").select(
-        F.col("changed_by").alias("batch_id"),
+    rows = f.order_cells.select(
+        F.concat_ws("-", "changed_by", "year").alias("batch_id"),
         F.when(F.col("event_type") == "delete", F.concat(F.lit("x"), "event_id")).otherwise(F.col("event_id")).alias("event_id"))
     return B.validate_tombstones(rows)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DateType, DecimalType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, DecimalType, IntegerType, StringType, StructField, StructType
 
 from adloom.functions import scalars as S
 from adloom.operators.budget import HISTORY_COLUMNS
@@ -163,6 +165,16 @@ def _daily(f: Frames) -> DataFrame:
     return f.line_spend.groupBy("customer_id", F.col("channel").alias("campaign"), "date").agg(F.sum("spend").alias("cost"))
 
 
+def _monthly(f: Frames) -> DataFrame:
+    """All spend at month grain: few partitions, every row of the source."""
+    return f.line_spend.groupBy("customer_id", F.col("channel").alias("campaign"), F.trunc("date", "MM").alias("date")).agg(
+        F.sum("spend").cast("decimal(28,4)").alias("cost"))
+
+
+_MONTHLY = """SELECT customer_id, channel AS campaign, CAST(date_trunc('month', date) AS DATE) AS date, sum(spend) AS cost
+  FROM line_spend GROUP BY 1, 2, 3"""
+
+
 @query("range_replaced_rows", "SNK-01", sql("line_spend", f"""
   WITH d AS (SELECT customer_id, channel AS campaign, date, sum(spend) AS cost FROM line_spend GROUP BY 1, 2, 3)
   SELECT customer_id, campaign, {day('date')} AS date, CAST(cost AS DOUBLE) AS cost FROM d WHERE d.date NOT BETWEEN DATE '2023-12-01' AND DATE '2024-01-15'
@@ -185,33 +197,28 @@ def _(f: Frames) -> DataFrame:
 
 
 @query("upserted_table", "SNK-02 SNK-03 SNK-04", sql("line_spend", f"""
-  WITH d AS (SELECT customer_id, channel AS campaign, date, sum(spend) AS cost FROM line_spend WHERE date >= DATE '2023-12-01' GROUP BY 1, 2, 3)
-  SELECT customer_id, campaign, {day('date')} AS date, CAST(CASE WHEN d.date >= DATE '2024-01-01' THEN cost * 3 ELSE cost END AS DOUBLE) AS cost
-  FROM d WHERE campaign <> 'bing' OR d.date >= DATE '2024-01-01'"""))
+  SELECT customer_id, campaign, {day('date')} AS date, CAST(CASE WHEN d.date >= DATE '2020-01-01' THEN cost * 3 ELSE cost END AS DOUBLE) AS cost
+  FROM ({_MONTHLY}) d WHERE campaign <> 'bing' OR d.date >= DATE '2020-01-01'"""))
 def _(f: Frames) -> DataFrame:
     path = work_dir(f.spark, "table")
     T.ensure_table(f.spark, path, _SOCIAL, "date")
     keys = ["customer_id", "campaign", "date"]
-    recent = _daily(f).filter("date >= '2023-12-01'")
-    T.merge_upsert(f.spark, path, recent.filter("campaign <> 'bing'"), _SOCIAL, keys, "date", f.now)
-    staged = recent.filter("date >= '2024-01-01'").withColumn("cost", (F.col("cost") * 3).cast("decimal(28,4)"))
+    T.merge_upsert(f.spark, path, _monthly(f).filter("campaign <> 'bing'"), _SOCIAL, keys, "date", f.now)
+    staged = _monthly(f).filter("date >= '2020-01-01'").withColumn("cost", (F.col("cost") * 3).cast("decimal(28,4)"))
     T.merge_upsert(f.spark, path, staged, _SOCIAL, keys, "date", f.now)
     return T.read_partitioned(f.spark, path, _SOCIAL)
 
 
 @query("range_replaced_table", "SNK-01", sql("line_spend", f"""
-  WITH d AS (SELECT customer_id, channel AS campaign, date, sum(spend) AS cost FROM line_spend WHERE date >= DATE '2023-12-01' GROUP BY 1, 2, 3)
-  SELECT customer_id, campaign, {day('date')} AS date, CAST(cost AS DOUBLE) AS cost FROM d WHERE d.date < DATE '2024-01-10' OR d.date > DATE '2024-01-20'
-  UNION ALL SELECT customer_id, campaign, {day('date')}, CAST(cost AS DOUBLE) FROM d WHERE d.date BETWEEN DATE '2024-01-10' AND DATE '2024-01-17' AND campaign = 'lsa'"""))
+  SELECT customer_id, campaign, {day('date')} AS date, CAST(cost AS DOUBLE) AS cost FROM ({_MONTHLY}) d
+  WHERE d.date NOT BETWEEN DATE '2020-03-01' AND DATE '2022-03-31' OR (d.date < DATE '2022-01-01' AND campaign = 'lsa')"""))
 def _(f: Frames) -> DataFrame:
-    from datetime import date
-
     path = work_dir(f.spark, "table")
-    recent = _daily(f).filter("date >= '2023-12-01'")
     T.ensure_table(f.spark, path, _SOCIAL, "date")
-    T.replace_range(f.spark, path, recent, _SOCIAL, "date", date(2023, 12, 1), date(2024, 1, 31))
-    pulled = recent.filter("date BETWEEN '2024-01-10' AND '2024-01-17' AND campaign = 'lsa'")
-    T.replace_range(f.spark, path, pulled, _SOCIAL, "date", date(2024, 1, 10), date(2024, 1, 20))
+    T.replace_range(f.spark, path, _monthly(f), _SOCIAL, "date", date(2000, 1, 1), date(2024, 12, 31))
+    # the new pull has one channel only, and nothing at all for the last months of the range
+    pulled = _monthly(f).filter("date BETWEEN '2020-03-01' AND '2021-12-31' AND campaign = 'lsa'")
+    T.replace_range(f.spark, path, pulled, _SOCIAL, "date", date(2020, 3, 1), date(2022, 3, 31))
     return T.read_partitioned(f.spark, path, _SOCIAL)
 
 
@@ -282,17 +289,16 @@ def _(f: Frames) -> DataFrame:
 
 
 @query("streamed_restatement", "STM-03", sql("line_spend", f"""
-  SELECT customer_id, channel AS campaign, {day('date')} AS date, CAST(sum(spend) AS DOUBLE) AS cost FROM line_spend
-  WHERE line_spend.date >= DATE '2024-01-01' GROUP BY 1, 2, line_spend.date"""))
+  SELECT customer_id, campaign, {day('date')} AS date, CAST(cost AS DOUBLE) AS cost FROM ({_MONTHLY}) d"""))
 def _(f: Frames) -> DataFrame:
-    recent = _daily(f).filter("date >= '2024-01-01'")
-    landing = _drop_in(f, recent.withColumn("cost", (F.col("cost") * 0).cast("decimal(28,4)")).withColumn("pull", F.lit(1)), "landing")
+    rows = _monthly(f)
+    landing = _drop_in(f, rows.withColumn("cost", (F.col("cost") * 0).cast("decimal(28,4)")).withColumn("pull", F.lit(1)), "landing")
     path, ckpt = work_dir(f.spark, "table"), work_dir(f.spark, "ckpt")
     T.ensure_table(f.spark, path, _SOCIAL, "date")
-    schema = StructType.fromDDL("customer_id string, campaign string, date date, cost decimal(28,4), pull int")
+    schema = StructType([*_SOCIAL.fields, StructField("pull", IntegerType())])
     for pull in (1, 2):
         if pull == 2:  # the corrected figures arrive later
-            recent.withColumn("cost", F.col("cost").cast("decimal(28,4)")).withColumn("pull", F.lit(2)).write.mode("append").parquet(landing)
+            rows.withColumn("pull", F.lit(2)).write.mode("append").parquet(landing)
         J.stream_restate(J.file_stream(f.spark, landing, schema, "parquet"), path, _SOCIAL, ["customer_id", "campaign", "date"], "date",
                          ckpt, f.now, newest=[F.desc("pull")]).awaitTermination()
     return T.read_partitioned(f.spark, path, _SOCIAL)

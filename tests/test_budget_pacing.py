@@ -47,6 +47,7 @@ def test_validation(spark):
              ("c", "", "create", "2024", "1", "5", "channel is required"), ("c", "m", "create", "2019", "1", "5", "year must be a valid integer"),
              ("c", "m", "create", "2024.5", "1", "5", "year must be a valid integer"), ("c", "m", "create", "2024", "13", "5", "month must be 1-12"),
              ("c", "m", "create", "2024", "x", "5", "month must be 1-12"), ("c", "m", "create", "2024", "1", None, "amount must be a number"),
+             ("c", "m", "create", "2024", "1", "5d", "amount must be a number"), ("c", "m", "create", " 2024 ", "1", "1.5e2", None),
              ("c", "m", "move", "2024", "1", "5", "event_type must be one of create, update, delete")]
     df = spark.createDataFrame(cases, "client string, channel string, event_type string, year string, month string, amount string, expected string")
     got = B.validate_event(df).collect()

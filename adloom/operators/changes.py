@@ -29,21 +29,34 @@ def trailing_baseline(series: DataFrame, days: int = 30) -> DataFrame:
 def mark_overlaps(windows: DataFrame) -> DataFrame:
     """attribution_ambiguous = another window on the same account and metric shares a day.
 
-    Instead of pairing windows, each one is laid out on its days (a window lasts a few weeks);
-    a day counted more than once marks its windows. The count combines map-side, so an account
-    with very many changes is spread over its days.
+    No pairs are formed. Openings and closings are counted per day, which combines map-side, and
+    a running total over those days (a calendar, however many changes an account has) tells how
+    many windows are active. A window is ambiguous when it is not alone on its first day, or when
+    another one opens after that and before it closes.
     """
-    days = windows.select(
-        "change_id", "account_id", "target_metric",
-        F.explode(F.sequence("window_opens", "window_closes")).alias("day"),
+    group = ["account_id", "target_metric"]
+    one, none = F.lit(1), F.lit(0)
+    opens = windows.select(*group, F.col("window_opens").alias("day"), one.alias("opened"), none.alias("closed"))
+    closes = windows.select(*group, F.col("window_closes").alias("day"), none.alias("opened"), one.alias("closed"))
+    per_day = opens.unionByName(closes).groupBy(*group, "day").agg(
+        F.sum("opened").alias("opened"), F.sum("closed").alias("closed")
     )
-    busy = (
-        days.groupBy("account_id", "target_metric", "day").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    until = Window.partitionBy(*group).orderBy("day")
+    before = until.rowsBetween(Window.unboundedPreceding, -1)
+    curve = per_day.select(
+        *group,
+        "day",
+        F.sum("opened").over(until.rowsBetween(Window.unboundedPreceding, 0)).alias("_opened"),
+        F.coalesce(F.sum("closed").over(before), F.lit(0)).alias("_closed_before"),
+    )
+    first = curve.select(*group, F.col("day").alias("window_opens"), F.col("_opened").alias("_at_open"),
+                         (F.col("_opened") - F.col("_closed_before")).alias("_active"))
+    last = curve.select(*group, F.col("day").alias("window_closes"), F.col("_opened").alias("_at_close"))
+    joined = windows.join(first, [*group, "window_opens"]).join(last, [*group, "window_closes"])
+    return joined.select(
+        *windows.columns,
+        ((F.col("_active") > 1) | (F.col("_at_close") > F.col("_at_open"))).alias("attribution_ambiguous"),
     )
-    crowded = days.join(busy, ["account_id", "target_metric", "day"], "left_semi").select("change_id").distinct()
-    return windows.join(crowded.withColumn("_hit", F.lit(True)), "change_id", "left").withColumn(
-        "attribution_ambiguous", F.coalesce("_hit", F.lit(False))
-    ).drop("_hit")
 
 
 def _signed(value: Column, baseline: Column) -> Column:

@@ -53,7 +53,7 @@ def triage_summary(items: DataFrame, cost: str = "cost") -> DataFrame:
         F.count_if(status == "At Risk").alias("at_risk"),
         F.count_if(status == "Low Volume").alias("low_volume"),
         F.count_if(status == "OK").alias("ok"),
-        F.coalesce(F.sum(F.col(cost).cast("decimal(18,2)")).cast("double"), F.lit(0.0)).alias("total_cost_7d"),
+        F.coalesce(F.sum(F.col(cost).cast("decimal(24,6)")).cast("double"), F.lit(0.0)).alias("total_cost_7d"),
     )
 
 

@@ -401,7 +401,9 @@ _TARGET = f"""WITH r AS (SELECT client, year, month, CAST(sum(rollover_in) AS DO
 
 
 def _targets(f: Frames) -> DataFrame:
-    catchup = P.rollover(f.base_current, f.actual_months).groupBy("client", "year", "month").agg(
+    # the rollover restarts every January, so one year needs only that year
+    base, actual = (df.filter(F.col("year") == PACING_YEAR) for df in (f.base_current, f.actual_months))
+    catchup = P.rollover(base, actual).groupBy("client", "year", "month").agg(
         F.sum("rollover_in").cast("double").alias("catchup"))
     rows = f.pacing.join(catchup, ["client", "year", "month"], "left").fillna(0.0, subset=["catchup"])
     return P.target_with_catchup(rows)

@@ -229,9 +229,9 @@ def _(f: Frames) -> DataFrame:
 @query("triage_summary", "OP-29", sql("triaged", """
   SELECT count(*) AS total, count(*) FILTER (status = 'Critical') AS critical, count(*) FILTER (status = 'At Risk') AS at_risk,
     count(*) FILTER (status = 'Low Volume') AS low_volume, count(*) FILTER (status = 'OK') AS ok,
-    CAST(sum(CAST(round(cost, 2) AS DECIMAL(18,2))) AS DOUBLE) AS total_cost_7d FROM triaged"""))
+    CAST(sum(CAST(cost AS DECIMAL(24,6))) AS DOUBLE) AS total_cost_7d FROM triaged"""))
 def _(f: Frames) -> DataFrame:
-    return G.triage_summary(G.campaign_triage(f.campaign_weeks).withColumn("cost", F.round("cost", 2)))
+    return G.triage_summary(G.campaign_triage(f.campaign_weeks))
 
 
 @query("status_streak", "WIN-10", sql("triaged", """

@@ -47,6 +47,22 @@ CHANNEL_LABELS = {
     "yelp": "Yelp",
 }
 
+# ---- fixed values: capture statuses and their severities ----------------------------
+CAPTURE_PAUSED = "Paused (Historical)"
+CAPTURE_GAP = "BQ Data Gap"
+CAPTURE_OVER_REPORTED = "Captured Mismatch (AM Over-reported)"
+CAPTURE_UNDER_REPORTED = "Captured Mismatch (AM Under-reported)"
+CAPTURE_MISMATCH = "Captured Mismatch (>10% diff)"
+CAPTURE_MATCH = "Historical Match"
+CAPTURE_SEVERITY = {
+    CAPTURE_PAUSED: "Healthy",
+    CAPTURE_GAP: "Neutral",
+    CAPTURE_OVER_REPORTED: "Review",
+    CAPTURE_UNDER_REPORTED: "Critical",
+    CAPTURE_MISMATCH: "Review",
+    CAPTURE_MATCH: "Healthy",
+}
+
 # ---- fixed values: alerts -----------------------------------------------------------
 ALERT_COLUMNS = [
     "alert_type", "severity", "source", "customer_id", "client_name", "account_manager", "tier",

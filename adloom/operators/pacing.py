@@ -264,19 +264,14 @@ def capture_status(df: DataFrame, tolerance: float = 0.10) -> DataFrame:
     reported, captured = F.col("reported"), F.col("captured")
     gap = F.abs(captured - reported) / F.nullif(reported, F.lit(0.0))
     status = (
-        F.when((reported == 0) & (captured == 0), F.lit("Paused (Historical)"))
-        .when(~F.col("data_available"), F.lit("BQ Data Gap"))
-        .when((captured == 0) & (reported > 0), F.lit("Captured Mismatch (AM Over-reported)"))
-        .when((reported == 0) & (captured > 0), F.lit("Captured Mismatch (AM Under-reported)"))
-        .when(gap > tolerance, F.lit("Captured Mismatch (>10% diff)"))
-        .otherwise(F.lit("Historical Match"))
-    )
-    severity = (
-        F.when(F.col("capture_status").isin("Historical Match", "Paused (Historical)"), F.lit("Healthy"))
-        .when(F.col("capture_status") == "BQ Data Gap", F.lit("Neutral"))
-        .when(F.col("capture_status").endswith("Under-reported)"), F.lit("Critical"))
-        .otherwise(F.lit("Review"))
+        F.when((reported == 0) & (captured == 0), F.lit(L.CAPTURE_PAUSED))
+        .when(~F.col("data_available"), F.lit(L.CAPTURE_GAP))
+        .when((captured == 0) & (reported > 0), F.lit(L.CAPTURE_OVER_REPORTED))
+        .when((reported == 0) & (captured > 0), F.lit(L.CAPTURE_UNDER_REPORTED))
+        .when(gap > tolerance, F.lit(L.CAPTURE_MISMATCH))
+        .otherwise(F.lit(L.CAPTURE_MATCH))
     )
+    severity = S.label_of(F.col("capture_status"), L.CAPTURE_SEVERITY)
     return (
         df.withColumn("capture_status", status)
         .withColumn("severity", severity)

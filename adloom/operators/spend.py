@@ -105,12 +105,12 @@ def actual_spend_mtd(daily: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def source_group(account_name: Column, other_prefix: str = "Other -", main_prefix: str = "ODC ") -> Column:
-    """Group from the account-name prefix."""
-    return (
-        F.when(F.startswith(account_name, F.lit(other_prefix)), F.lit("Other"))
-        .when(F.startswith(account_name, F.lit(main_prefix)), F.lit(main_prefix.strip()))
-    )
+def source_group(account_name: Column, prefixes: Mapping[str, str]) -> Column:
+    """Group from the account-name prefix (prefix -> group); NULL when none fits."""
+    out = F.lit(None).cast("string")
+    for prefix, group in reversed(list(prefixes.items())):
+        out = F.when(F.startswith(account_name, F.lit(prefix)), F.lit(group)).otherwise(out)
+    return out
 
 
 def rolling_months(df: DataFrame, date_col: str, as_of: Column, back: int = 3, fwd: int = 3) -> DataFrame:

@@ -62,11 +62,11 @@ def _(f: Frames) -> DataFrame:
 @query("source_groups", "PRJ-06", sql("", """
   SELECT n AS source_group, count(*) AS clients FROM (
     SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'Other'
-                WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE 'ODC' END AS n FROM customer) GROUP BY 1"""))
+                WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE 'Main' END AS n FROM customer) GROUP BY 1"""))
 def _(f: Frames) -> DataFrame:
     account = (F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.concat(F.lit("Other - "), "c_name"))
-               .when(F.col("c_mktsegment") == "HOUSEHOLD", F.col("c_name")).otherwise(F.concat(F.lit("ODC "), "c_name")))
-    return f.table("customer").groupBy(SP.source_group(account).alias("source_group")).agg(
+               .when(F.col("c_mktsegment") == "HOUSEHOLD", F.col("c_name")).otherwise(F.concat(F.lit("Main "), "c_name")))
+    return f.table("customer").groupBy(SP.source_group(account, {"Other -": "Other", "Main ": "Main"}).alias("source_group")).agg(
         F.count(F.lit(1)).alias("clients"))
 
 

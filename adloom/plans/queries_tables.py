@@ -272,8 +272,7 @@ def _(f: Frames) -> DataFrame:
     landing = _drop_in(f, rows, "landing")
     rows.filter("channel = 'bing'").write.mode("append").parquet(landing)  # delivered twice
     log = work_dir(f.spark, "log")
-    J.stream_events(J.file_stream(f.spark, landing, schema, "parquet"), log, schema, work_dir(f.spark, "ckpt"),
-                    horizon="4000 days").awaitTermination()
+    J.stream_events(J.file_stream(f.spark, landing, schema, "parquet"), log, schema, work_dir(f.spark, "ckpt")).awaitTermination()
     return f.spark.read.schema(schema).parquet(log).select("event_id", "client", "channel", "year", "month", "amount", "event_type", "changed_at")
 
 
@@ -283,8 +282,7 @@ def _(f: Frames) -> DataFrame:
     landing = _drop_in(f, rows, "landing")
     rows.write.mode("append").parquet(landing)
     log = work_dir(f.spark, "log")
-    J.stream_tombstones(J.file_stream(f.spark, landing, rows.schema, "parquet"), log, rows.schema, work_dir(f.spark, "ckpt"),
-                        horizon="4000 days").awaitTermination()
+    J.stream_tombstones(J.file_stream(f.spark, landing, rows.schema, "parquet"), log, rows.schema, work_dir(f.spark, "ckpt")).awaitTermination()
     return f.spark.read.schema(rows.schema).parquet(log).select("event_id")
 
 
@@ -310,8 +308,7 @@ def _(f: Frames) -> DataFrame:
     rows = f.audit_events.withColumn("changed_at", F.timestamp_seconds("changed_at"))
     landing = _drop_in(f, rows, "landing")
     log = work_dir(f.spark, "log")
-    J.stream_audit(J.file_stream(f.spark, landing, rows.schema, "parquet"), log, rows.schema, work_dir(f.spark, "ckpt"),
-                   horizon="60 days").awaitTermination()
+    J.stream_audit(J.file_stream(f.spark, landing, rows.schema, "parquet"), log, rows.schema, work_dir(f.spark, "ckpt")).awaitTermination()
     return f.spark.read.schema(rows.schema).parquet(log).select("event_id", "action", "target_email", "detail")
 
 

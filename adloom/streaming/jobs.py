@@ -22,9 +22,14 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return reader.load(path)
 
 
-def unique_events(stream: DataFrame, key: str, event_time: str, horizon: str = "1 day") -> DataFrame:
-    """Drop repeats of an id that arrive within the retry horizon; state is bounded by it."""
-    return stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
+def unique_events(stream: DataFrame, key: str, horizon: str = "1 day") -> DataFrame:
+    """Drop repeats of an id that arrive within the retry horizon; state is bounded by it.
+
+    The watermark runs on the arrival time, so an event with an old timestamp is never late and
+    never lost.
+    """
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
 def _append_once(log_path: str, schema: StructType, key: str) -> Callable[[DataFrame, int], None]:
@@ -36,12 +41,12 @@ def _append_once(log_path: str, schema: StructType, key: str) -> Callable[[DataF
 
 
 def stream_events(
-    stream: DataFrame, log_path: str, schema: StructType, checkpoint: str, event_time: str = "changed_at",
-    key: str = "event_id", horizon: str = "1 day", trigger: dict | None = None,
+    stream: DataFrame, log_path: str, schema: StructType, checkpoint: str, key: str = "event_id",
+    horizon: str = "1 day", trigger: dict | None = None,
 ) -> StreamingQuery:
     """Continuous append of edits to the log."""
     return (
-        unique_events(stream, key, event_time, horizon)
+        unique_events(stream, key, horizon)
         .writeStream.foreachBatch(_append_once(log_path, schema, key))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -51,7 +56,7 @@ def stream_events(
 
 def stream_tombstones(stream: DataFrame, log_path: str, schema: StructType, checkpoint: str, **kw) -> StreamingQuery:
     """Soft deletes; deleting an event again adds nothing."""
-    return stream_events(stream, log_path, schema, checkpoint, event_time="deleted_at", **kw)
+    return stream_events(stream, log_path, schema, checkpoint, **kw)
 
 
 def stream_audit(stream: DataFrame, log_path: str, schema: StructType, checkpoint: str, **kw) -> StreamingQuery:

@@ -130,7 +130,7 @@ def test_stream_equals_batch(spark):
     second = events(spark, ("b", 2, 6), ("c", 3, 20))
     second.write.mode("append").json(landing)
     run()
-    late = events(spark, ("d", 4, 20), ("a", 1, 20))
+    late = events(spark, ("d", 4, 20), ("a", 1, 20), ("old", 5, 1))
     late.write.mode("append").json(landing)
     run()
     got = sorted(r.event_id for r in spark.read.schema(EVENTS).parquet(log).collect())

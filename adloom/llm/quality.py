@@ -73,6 +73,42 @@ def repeated_words(counts: list[int], hashes: np.ndarray) -> list[int]:
     return np.bincount(doc[hit], minlength=len(counts)).tolist()
 
 
+def measure(raw: list[bytes], rules: Rules, with_text: bool) -> tuple[list, ...]:
+    """Per text: words, their code points, symbols, repeated lines, words in repeated windows, base failure,
+    verdict, words on failing lines, text without these lines."""
+    counts, chars, symbols, dups, lost, cleaned = [], [], [], [], [], []
+    words: list[bytes] = []
+    for text in raw:
+        before = len(words)
+        seen: set[bytes] = set()
+        repeats = gone = 0
+        good: list[bytes] = []
+        for line in text.split(b"\n"):
+            own = line.split()
+            if not own:
+                continue
+            words += own
+            if line in seen:
+                repeats += 1
+                gone += len(own)
+            else:
+                seen.add(line)
+                if line_fails(line, own, rules):
+                    gone += len(own)
+                else:
+                    good.append(line)
+        counts.append(len(words) - before)
+        chars.append(len(b"".join(words[before:]).decode("utf-8")))
+        symbols.append(len(text) - len(text.translate(None, SYMBOLS)))
+        dups.append(repeats)
+        lost.append(gone)
+        cleaned.append(b"\n".join(good).decode("utf-8") if with_text else None)
+    again = repeated_words(counts, np.fromiter(map(hash, words), np.int64, len(words)))
+    failed = [n < rules.min_words or 100 * r > rules.repeated * n for n, r in zip(counts, again)]
+    kept = [not f and 100 * x <= rules.lost * n for f, x, n in zip(failed, lost, counts)]
+    return counts, chars, symbols, dups, again, failed, kept, lost, cleaned
+
+
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
           "kept boolean, lost_words long, clean_text string")
 
@@ -90,42 +126,25 @@ def clean_lines(docs: DataFrame, rules: Rules | None = None, with_text: bool = T
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = texts(batch)
-            counts, chars, symbols, dups, lost, cleaned = [], [], [], [], [], []
-            words: list[bytes] = []
-            for text in raw:
-                before = len(words)
-                seen: set[bytes] = set()
-                repeats = gone = 0
-                good: list[bytes] = []
-                for line in text.split(b"\n"):
-                    own = line.split()
-                    if not own:
-                        continue
-                    words += own
-                    if line in seen:
-                        repeats += 1
-                        gone += len(own)
-                    else:
-                        seen.add(line)
-                        if line_fails(line, own, rules):
-                            gone += len(own)
-                        else:
-                            good.append(line)
-                counts.append(len(words) - before)
-                chars.append(len(b"".join(words[before:]).decode("utf-8")))
-                symbols.append(len(text) - len(text.translate(None, SYMBOLS)))
-                dups.append(repeats)
-                lost.append(gone)
-                cleaned.append(b"\n".join(good).decode("utf-8") if with_text else None)
-            again = repeated_words(counts, np.fromiter(map(hash, words), np.int64, len(words)))
-            failed = [n < rules.min_words or 100 * r > rules.repeated * n for n, r in zip(counts, again)]
-            kept = [not f and 100 * x <= rules.lost * n for f, x, n in zip(failed, lost, counts)]
-            longs = [pa.array(c, pa.int64()) for c in (counts, chars, symbols, dups, again)]
+            *longs, failed, kept, lost, cleaned = measure(texts(batch), rules, with_text)
             return pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), *longs, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()),
-                 pa.array(lost, pa.int64()), pa.array(cleaned, pa.string())], [c.split()[0] for c in SCHEMA.split(", ")])
+                [column(batch, "doc_id"), *[pa.array(c, pa.int64()) for c in longs], pa.array(failed, pa.bool_()),
+                 pa.array(kept, pa.bool_()), pa.array(lost, pa.int64()), pa.array(cleaned, pa.string())],
+                [c.split()[0] for c in SCHEMA.split(", ")])
 
         return step
 
     return per_batch(docs.select("doc_id", "text"), start, SCHEMA)
+
+
+def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """The rows of docs, unchanged and with all their columns, that are kept."""
+    rules = rules or Rules()
+
+    def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(measure(texts(batch), rules, False)[6], pa.bool_()))
+
+        return step
+
+    return per_batch(docs, start, docs.schema)

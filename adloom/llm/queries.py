@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adloom.llm import chunk_bpe, langid, packing, quality, token_counts, toxicity
+from adloom.llm import chunk_bpe, jaccard, langid, neighbours, oracle, packing, quality, substring, token_counts, toxicity, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +20,14 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), words=3, percent=90).drop("class_id")
+
+
+def op3_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digests(table(spark, sf_dir, "documents"), window=20)
+
+
 def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -32,17 +40,31 @@ def op6_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents"), with_text=False).drop("clean_text")
 
 
+def op9_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sum_of_squares_packing, op4_whole_token_counts, op5_toxicity_chain, op6_chunk_reuse_bpe, op8_line_first_cleaning,
+    for f in (op1_sum_of_squares_packing, op2_token_group_jaccard, op3_relative_lz_dedup, op4_whole_token_counts, op5_toxicity_chain,
+              op6_chunk_reuse_bpe, op7_posting_list_neighbours, op8_line_first_cleaning, op9_gzip_normaliser,
               op10_hyperdimensional_langid)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_token_group_jaccard": oracle.JACCARD,
+    "op3_relative_lz_dedup": oracle.SUBSTRING,
+    "op8_line_first_cleaning": oracle.QUALITY,
+    "op9_gzip_normaliser": oracle.WARC,
+}

@@ -166,6 +166,19 @@ class Columns(dict):
         return out
 
 
+def _judge(chain: Chain) -> Callable[[list[bytes]], np.ndarray]:
+    """Texts -> probabilities, a column per category."""
+    known = Columns(chain.columns)
+
+    def judge(raw: list[bytes]) -> np.ndarray:
+        found = [sorted(set().union(*map(known.__getitem__, set(t.split())))) for t in raw]
+        rows = np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64)
+        cols = np.array([c for f in found for c in f], np.int64)
+        return chain.probabilities(Rows(cols, rows, len(found), len(chain.columns)))
+
+    return judge
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id and p_<category> (0 to 1) per row.
 
@@ -175,13 +188,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{n}" for n in chain.names]
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        known = Columns(chain.columns)
+        judge = _judge(chain)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted(set().union(*map(known.__getitem__, set(t.split())))) for t in texts(batch)]
-            rows = np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64)
-            cols = np.array([c for f in found for c in f], np.int64)
-            p = chain.probabilities(Rows(cols, rows, len(found), len(chain.columns)))
+            p = judge(texts(batch))
             return pa.RecordBatch.from_arrays([column(batch, "doc_id"), *[pa.array(p[:, k]) for k in range(len(names))]], ["doc_id", *names])
 
         return step
@@ -197,3 +207,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
     """doc_id, p_low_quality, p_toxic, toxic (p_toxic >= threshold) per row of docs."""
     chain = fit(docs, labels, CATEGORIES, sample)
     return score(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose toxic probability stays below the threshold."""
+    chain = fit(docs, labels, CATEGORIES, sample)
+
+    def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        judge = _judge(chain)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(judge(texts(batch))[:, -1] < threshold))
+
+        return step
+
+    return per_batch(docs, start, docs.schema)

@@ -1,16 +1,63 @@
-"""Corpus pipeline over documents: each stage works on all its predecessor kept."""
+"""Corpus pipeline over documents: toxicity, line quality, near duplicates, repeated spans, packing.
+
+Each stage works on all rows its predecessor kept and, but for the last, returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adloom.llm import packing, quality, toxicity
+from adloom.llm import jaccard, packing, quality, substring, toxicity
+from adloom.llm.work import Steps
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-STAGES = []
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier chain, fitted on the labels of the same folder, does not find toxic."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and lose at most half of their words to the line rules."""
+    return quality.keep_good(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    return jaccard.first_of_group(docs, words=5, percent=80)
+
+
+def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 20-word windows that start earlier in the corpus; n_chars follows the text."""
+    cut = substring.dedup_texts(docs, window=20)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packing.pack(docs, VOCABULARY)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("ngram_jaccard", drop_near_copies),
+    ("substring_dedup", drop_repeated_spans),
+    ("packing", pack_tokens),
+]
+
+#: A fitted classifier and a tokenizer have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each result written to the shared folder and read again."""
+    steps = Steps(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = steps.write(docs)
+    return docs

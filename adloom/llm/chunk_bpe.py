@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from adloom.llm.rows import column, per_batch, texts
-from adloom.llm.wordbpe import WordIds
+from adloom.llm.wordbpe import WordIds, kept, load
 
 WINDOW = 32  # bytes the rolling hash sees
 MEMO_BYTES = 64 << 20  # chunks and ids a worker keeps
@@ -76,7 +76,7 @@ class ChunkIds:
         else:
             head = b"" if chunk[:1].isspace() else inner.pop(0)
             tail = b"" if chunk[-1:].isspace() else inner.pop()
-            got = (head, b"".join(map(self.words.__getitem__, inner)), tail)
+            got = (head, b"".join(map(self.words.words.__getitem__, inner)), tail)
         size = len(chunk) + len(got[1] or b"")
         if self.kept + size > self.memo_bytes:
             self.memo.clear()
@@ -87,7 +87,7 @@ class ChunkIds:
 
     def encode(self, raw: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
-        words = self.words
+        words = self.words.words
         out = []
         for chunks in chunked(raw, self.bits):
             ids: list[bytes] = []
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, tokenizer: str, bits: int = 9) -> DataFrame:
     """doc_id and ids (array of int) per row; null and empty texts have no ids."""
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        coder = ChunkIds(tokenizer, bits)
+        coder = kept(ChunkIds, tokenizer, bits)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             packed = coder.encode(texts(batch))
@@ -151,8 +151,6 @@ def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and text per row of (doc_id, ids); null ids give an empty text."""
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        from adloom.llm.wordbpe import load
-
         decoder = Decoder(load(tokenizer))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -173,7 +171,7 @@ def digests(docs: DataFrame, tokenizer: str, bits: int = 9) -> DataFrame:
     """
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        coder = ChunkIds(tokenizer, bits)
+        coder = kept(ChunkIds, tokenizer, bits)
         decoder = Decoder(coder.words.tok)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

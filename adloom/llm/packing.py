@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from adloom.llm.rows import bounded, column, texts
-from adloom.llm.wordbpe import WordIds
+from adloom.llm.wordbpe import WordIds, kept
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, levels = WordIds(tokenizer), Levels(length)
+        words, levels = kept(WordIds, tokenizer), Levels(length)
         base = TaskContext.get().partitionId() << 36
         made = 0
         rows: list[tuple] = []

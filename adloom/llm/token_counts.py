@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from adloom.llm.rows import column, per_batch, texts
-from adloom.llm.wordbpe import MEMO_ENTRIES, MEMO_WORD, Pieces, load
+from adloom.llm.wordbpe import MEMO_ENTRIES, Memo, Pieces, byte_alphabet, kept, load
 
 END = "</w>"
 
@@ -22,7 +22,7 @@ def whole_tokens(path: str) -> frozenset[str]:
     """Pre-tokens (byte alphabet) proven to encode alone as one token; size bounded by the vocabulary."""
     tok = load(path)
     ends = {s[: -len(END)]: i for s, i in tok.get_vocab(with_added_tokens=False).items() if s.endswith(END)}
-    back = {c: b for b, c in _alphabet().items()}
+    back = {c: b for b, c in byte_alphabet().items()}
     proven = []
     for piece, i in ends.items():
         raw = bytes(back[c] for c in piece)
@@ -38,33 +38,23 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(proven)
 
 
-def _alphabet() -> dict[int, str]:
-    """Byte -> character of the byte alphabet: visible Latin-1 characters stand for themselves, the
-    other bytes in order for the characters from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-class WordCounts(dict):
-    """White-space word -> number of its tokens."""
+class WordCounts:
+    """Number of tokens of white-space words."""
 
     def __init__(self, path: str, proven: frozenset[str], entries: int = MEMO_ENTRIES):
-        super().__init__()
         self.tok = load(path)
-        self.pieces, self.proven, self.entries = Pieces(self.tok), proven, entries
+        self.pieces, self.proven = Pieces(self.tok), proven
+        self.merged = Memo(lambda piece: len(self.tok.model.tokenize(piece)), entries)
+        self.words = Memo(self._word, entries)
 
-    def __missing__(self, word: bytes) -> int:
+    def _word(self, word: bytes) -> int:
         if self.pieces.is_plain(word):
-            proven, merge = self.proven, self.tok.model.tokenize
-            out = sum(1 if p in proven else len(merge(p)) for p in self.pieces.of(word))
-        else:
-            out = len(self.tok.encode(word.decode("utf-8"), add_special_tokens=False).ids)
-        if len(word) <= MEMO_WORD:
-            if len(self) >= self.entries:
-                self.clear()
-            self[word] = out
-        return out
+            proven, merged = self.proven, self.merged
+            return sum([1 if p in proven else merged[p] for p in self.pieces.of(word)])
+        return len(self.tok.encode(word.decode("utf-8"), add_special_tokens=False).ids)
+
+    def count(self, text: bytes) -> int:
+        return sum(map(self.words.__getitem__, text.split()))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
@@ -76,11 +66,11 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     proven = whole_tokens(tokenizer)
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        counts = WordCounts(tokenizer, proven)
+        counts = kept(WordCounts, tokenizer, proven)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw = texts(batch)
-            n = [sum(map(counts.__getitem__, t.split())) for t in raw]
+            n = [counts.count(t) for t in raw]
             return pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(n, pa.int64()),
                  pa.array([x > limit for x in n], pa.bool_())],

@@ -16,14 +16,16 @@ import struct
 
 from tokenizers import Tokenizer
 
-#: Entries of a memo; one holds about 150 bytes, and a full memo starts again.
-MEMO_ENTRIES = 400_000
+#: Entries of a memo's generation; one holds about 150 bytes.
+MEMO_ENTRIES = 200_000
 #: Longer words are computed each time.
 MEMO_WORD = 48
 
-# fixed values: the only pre-tokenizer pattern these operators know, and its ASCII form
+# fixed values: the only pre-tokenizer pattern these operators know; words of visible ASCII and of letters
+# that no normal form changes; and the pattern's form for such words in lower case
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+SIMPLE = re.compile("[!-~À-ÖØ-öø-įĲ-ſ]+")
+SIMPLE_PATTERN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
 
 
 def load(path: str) -> Tokenizer:
@@ -47,60 +49,88 @@ def load(path: str) -> Tokenizer:
     return tok
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte -> character of the byte alphabet: visible Latin-1 characters stand for themselves, the
+    other bytes in order for the characters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Pieces:
     """Pre-tokens of a white-space word, in the byte alphabet of the vocabulary."""
 
     def __init__(self, tok: Tokenizer):
         self.tok = tok
         self.special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special) if self.special else None
+        self.alphabet = byte_alphabet()
 
     def is_plain(self, word: bytes) -> bool:
-        return not any(s in word for s in self.special)
+        return self.mark is None or self.mark not in word or not any(s in word for s in self.special)
 
     def of(self, word: bytes) -> list[str]:
         """Pre-tokens of a word without special strings."""
-        if word.isascii():
-            found = ASCII_PATTERN.findall(word.lower())
-            text = b"\n".join(found).decode("ascii")
-            if text.replace("\n", "").isprintable():
-                return text.split("\n") if found else []
-        normal = self.tok.normalizer.normalize_str(word.decode("utf-8"))
+        if word.isalpha():
+            return [word.lower().decode()]
+        text = word.decode("utf-8")
+        if SIMPLE.fullmatch(text):
+            found = SIMPLE_PATTERN.findall(text.lower())
+            return found if word.isascii() else [p.encode().decode("latin-1").translate(self.alphabet) for p in found]
+        normal = self.tok.normalizer.normalize_str(text)
         return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
 
 
-class WordIds(dict):
-    """White-space word (UTF-8) -> its ids as little-endian unsigned 32-bit integers."""
+class Memo(dict):
+    """Computes what it lacks. When it is full its entries become the old generation, of which those
+    that are asked for again come back, so frequent words stay and memory is bounded."""
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, compute, entries: int):
         super().__init__()
-        self.tok = load(path)
-        self.pieces = Pieces(self.tok)
-        self.entries = entries
-        self.parts: dict[str, bytes] = {}
+        self.compute, self.entries, self.old = compute, entries, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if self.pieces.is_plain(word):
-            out = b"".join([self.parts.get(p) or self._merge(p) for p in self.pieces.of(word)])
-        else:
-            out = _pack(self.tok.encode(word.decode("utf-8"), add_special_tokens=False).ids)
-        if len(word) <= MEMO_WORD:
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.compute(key)
+        if len(key) <= MEMO_WORD:
             if len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
-            self[word] = out
+            self[key] = out
         return out
 
+
+class WordIds:
+    """Packed ids (little-endian unsigned 32-bit integers) of white-space words and of texts."""
+
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+        self.tok = load(path)
+        self.pieces = Pieces(self.tok)
+        self.packed = [struct.pack("<I", i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.parts = Memo(self._merge, entries)
+        self.words = Memo(self._word, entries)
+
+    def _word(self, word: bytes) -> bytes:
+        if self.pieces.is_plain(word):
+            return b"".join(map(self.parts.__getitem__, self.pieces.of(word)))
+        return b"".join(map(self.packed.__getitem__, self.tok.encode(word.decode("utf-8"), add_special_tokens=False).ids))
+
     def _merge(self, piece: str) -> bytes:
-        out = _pack([t.id for t in self.tok.model.tokenize(piece)])
-        if len(piece) <= MEMO_WORD:
-            if len(self.parts) >= self.entries:
-                self.parts.clear()
-            self.parts[piece] = out
-        return out
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tok.model.tokenize(piece)])
 
     def encode(self, text: bytes) -> bytes:
-        """Ids of a whole text, packed."""
-        return b"".join(map(self.__getitem__, text.split()))
+        """Ids of a whole text."""
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+_KEPT: dict[tuple, object] = {}
 
 
-def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def kept(make, *args):
+    """make(*args), made once in a Python worker: a worker that runs several tasks keeps its memo."""
+    key = (make, *args)
+    if key not in _KEPT:
+        _KEPT[key] = make(*args)
+    return _KEPT[key]

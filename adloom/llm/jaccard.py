@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
         return step
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    rows = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
     return per_batch(rows, start, "node long, n long, toks binary")
 
 
@@ -227,7 +227,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     # signatures with several classes: minimum and maximum are combined before the shuffle
     rows = named.select(F.explode("sigs").alias("sig"), "node")
     ends = rows.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).filter("leader < _last")
-    shared = steps.write(rows.join(ends.drop("_last"), "sig").distinct())
+    shared = steps.write(rows.join(ends.drop("_last").hint("merge"), "sig").distinct())
     wanted = steps.write(shared.select("node").distinct().join(first, "node"))
     sets = steps.write(_sets(docs, wanted, words).dropDuplicates(["node"]))
     stars = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()

@@ -1,6 +1,7 @@
 """Substring dedup by relative Lempel-Ziv factors.
 
-The corpus itself is the reference, cut into blocks of text that are all indexed: of every window of
+The corpus itself is the reference, cut into blocks of text that are all indexed. A document whose words
+all repeat a smaller document is one factor, and only the first such document goes on: of every window of
 `window` words the index holds its minimizer, the smallest hash of the short word sequences in it. Equal
 windows have equal minimizers, so a window can only repeat in another document if its minimizer does
 (the index, partitioned by hash, says which do). Such windows are looked up by a 96-bit hash: the
@@ -18,6 +19,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from adloom.llm.hashes import sequences, sliding_min, word_hashes
@@ -38,24 +40,40 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys stand in several documents, with the smallest of these as `ref_doc`.
 
     Minimum and maximum are combined before the shuffle, and the join splits a key that holds many
-    rows, so no task gets a hot key whole.
+    rows, so no task gets a hot key whole. The hint keeps a table that grows with the corpus from being
+    broadcast where it happens to be small.
     """
     ends = rows.groupBy(*keys).agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("_last"))
-    return rows.join(ends.filter("ref_doc < _last").drop("_last"), keys)
+    return rows.join(ends.filter("ref_doc < _last").drop("_last").hint("merge"), keys)
 
 
 def _seeds(docs: DataFrame, window: int) -> DataFrame:
-    """Distinct minimizers of each document."""
+    """Digest of the words, their number, and the distinct minimizers of each document."""
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.unique(minimizers(word_hashes(t.split()), window, SEED_WORDS)) for t in texts(batch)]
-            ids = np.repeat(np.asarray(column(batch, "doc_id")), [len(f) for f in found])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids)], ["seed", "doc_id"])
+            found, digests, counts = [], [], []
+            for text in texts(batch):
+                words = text.split()
+                counts.append(len(words))
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                found.append(np.unique(minimizers(word_hashes(words), window, SEED_WORDS)))
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()),
+                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).view(np.int64)))], ["doc_id", "digest", "words", "seeds"])
 
         return step
 
-    return per_batch(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), start, "seed long, doc_id long")
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    return per_batch(rows, start, "doc_id long, digest binary, words int, seeds array<long>")
+
+
+def _copies(seeded: DataFrame, window: int) -> DataFrame:
+    """doc_id, words, ref_doc of documents whose words all stand in the same order in a smaller document:
+    each of their windows starts earlier."""
+    rows = seeded.filter(F.col("words") >= window).select("doc_id", "digest", "words")
+    return _shared(rows, ["digest", "words"]).filter("doc_id > ref_doc").select("doc_id", "words", "ref_doc").distinct()
 
 
 def _windows(marked: DataFrame, window: int) -> DataFrame:
@@ -113,11 +131,14 @@ def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id and `found`: array of (start, words, ref_doc), the factors of a document that stand in a
     document with a smaller id. Documents without one give no row."""
     steps = Steps(docs.sparkSession, "substring")
-    seeds = steps.write(_seeds(docs, window))
+    seeded = steps.write(_seeds(docs, window))
+    copies = steps.write(_copies(seeded, window))
+    seeds = steps.write(seeded.select("doc_id", "seeds").join(copies.hint("merge"), "doc_id", "left_anti").select(F.explode("seeds").alias("seed"), "doc_id"))
+    steps.drop(seeded)
     marks = steps.write(_shared(seeds, ["seed"]).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
     steps.drop(seeds)
     texts_of = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    windows = steps.write(_windows(texts_of.join(marks, "doc_id"), window))
+    windows = steps.write(_windows(texts_of.join(marks.hint("merge"), "doc_id"), window))
     steps.drop(marks)
     hits = _shared(windows, ["key", "check"]).filter("doc_id > ref_doc").select("doc_id", "start", "ref_doc")
     grouped = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "ref_doc"))).alias("hits"))
@@ -134,7 +155,9 @@ def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
 
         return step
 
-    found = steps.write(per_batch(grouped, start, "doc_id long, found array<struct<start:int,words:int,ref_doc:long>>"))
+    parts = per_batch(grouped, start, "doc_id long, found array<struct<start:int,words:int,ref_doc:long>>")
+    whole = copies.select("doc_id", F.array(F.struct(F.lit(0).alias("start"), "words", "ref_doc")).alias("found"))
+    found = steps.write(parts.union(whole))
     steps.drop(windows)
     return found
 
@@ -154,7 +177,7 @@ def _cut(text: bytes, found: list[dict] | None, judged: bool, window: int) -> tu
 
 
 def _with_factors(docs: DataFrame, window: int) -> DataFrame:
-    return docs.select("doc_id", "text").join(duplicate_factors(docs, window), "doc_id", "left")
+    return docs.select("doc_id", "text").join(duplicate_factors(docs, window).hint("merge"), "doc_id", "left")
 
 
 def dedup_digests(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -203,5 +226,5 @@ def dedup_texts(docs: DataFrame, window: int = 20) -> DataFrame:
 
     names = docs.columns
     found = duplicate_factors(docs, window).select(F.col("doc_id").alias("_doc"), F.col("found").alias("_found"))
-    joined = docs.join(found, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.join(found.hint("merge"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     return per_batch(joined, start, docs.schema)

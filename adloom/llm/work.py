@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from adloom.session import work_dir
@@ -16,9 +18,9 @@ class Steps:
 
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
+        self.release()
         path = f"{self.base}/{self.made}"
         df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(path)
-        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -30,4 +32,5 @@ class Steps:
 
     def release(self) -> None:
         """Let Spark's cleaner see that the shuffles of finished steps are unused, so that their files go."""
+        gc.collect()
         self.spark._jvm.System.gc()

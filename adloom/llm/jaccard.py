@@ -36,7 +36,7 @@ from adloom.llm.work import Steps
 
 RATIO = 1.5  # sizes of a band
 SCHEMES = 4
-BLOCK = 64  # classes of a group
+BLOCK = 128  # classes of a group
 QUERIES = 256  # queries that meet a group in one call
 SCHEMA = "doc_id long, n long, node long, sigs array<long>"
 
@@ -61,7 +61,9 @@ def parts_of(band: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.nda
     """(largest difference d, slack g) of two linked sets whose larger one is in the band."""
     most = starts[band + 1] - 1
     d = 2 * most * (100 - percent) // (100 + percent)
-    return d, 2 + d // 25
+    # parts likely to be empty; the fewer parts, the more tokens has each, and the fewer sets share one by chance
+    empty = (d + 1) * np.exp(-0.8 * most / (d + 1))
+    return d, 1 + np.where(empty > 0.05, np.ceil(2 * empty), 0).astype(np.int64)
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -175,6 +177,9 @@ def _true_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _open_groups(shared: DataFrame, sets: DataFrame, steps: Steps, percent: int) -> DataFrame:
     """Links between classes of different components that share a signature (sig, node, leader, comp)."""
     home = shared.groupBy("node").agg(F.min("leader").alias("home"), F.min("comp").alias("comp"))
+    # classes that meet have the same home where that takes one more step
+    near = shared.select("sig", "node").join(home, "node").groupBy("sig").agg(F.min("home").alias("near"))
+    home = shared.select("sig", "node", "comp").join(near, "sig").groupBy("node").agg(F.min("near").alias("home"), F.min("comp").alias("comp"))
     size = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
     block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
     home = steps.write(home.join(size, "home").select("node", "comp", block.alias("block")))

@@ -183,6 +183,8 @@ def normalise(archives: DataFrame, refers: DataFrame, folder: str) -> DataFrame:
         return made.astype({"page_id": "Int64"})
 
     which = archives.select("archive").distinct()
+    # rows here are few but each stands for a whole file: a fixed number of partitions is not merged by size
+    which = which.repartition(max(1, which.count()), "archive")
     return which.groupBy("archive").cogroup(refers.groupBy("of")).applyInPandas(rewrite, INDEX)
 
 

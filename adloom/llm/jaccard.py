@@ -34,11 +34,10 @@ from adloom.llm.hashes import mix, sequences, word_hashes
 from adloom.llm.rows import column, per_batch, texts
 from adloom.llm.work import Steps
 
-RATIO = 1.5  # sizes of a band
+RATIO = 1.25  # sizes of a band
 SCHEMES = 4
 BLOCK = 128  # classes of a group
 QUERIES = 256  # queries that meet a group in one call
-SCHEMA = "doc_id long, n long, node long, sigs array<long>"
 
 
 def tokens(text: bytes, words: int) -> np.ndarray:
@@ -50,7 +49,7 @@ def tokens(text: bytes, words: int) -> np.ndarray:
 
 
 def band_starts(limit: int = 1 << 40) -> np.ndarray:
-    """First size of each band: 1, 2, 3, 4, 6, 9, ... growing by RATIO."""
+    """First size of each band: 1, 2, 3, 4, 5, 6, 7, 8, 10, ... growing by RATIO."""
     out = [1]
     while out[-1] < limit:
         out.append(max(out[-1] + 1, int(out[-1] * RATIO)))
@@ -58,12 +57,19 @@ def band_starts(limit: int = 1 << 40) -> np.ndarray:
 
 
 def parts_of(band: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(largest difference d, slack g) of two linked sets whose larger one is in the band."""
-    most = starts[band + 1] - 1
-    d = 2 * most * (100 - percent) // (100 + percent)
-    # parts likely to be empty; the fewer parts, the more tokens has each, and the fewer sets share one by chance
-    empty = (d + 1) * np.exp(-0.8 * most / (d + 1))
-    return d, 1 + np.where(empty > 0.05, np.ceil(2 * empty), 0).astype(np.int64)
+    """(largest difference d, slack g) of two linked sets whose larger one is in the band.
+
+    The smallest set that is dealt for a band leaves about k * exp(-n / k) of its k parts empty; the
+    slack is that and three deviations, so that few sets are dealt again.
+    """
+    d = 2 * (starts[band + 1] - 1) * (100 - percent) // (100 + percent)
+    least = np.maximum(percent * starts[band] // 100, 1)
+    g = np.ones(len(d))
+    for _ in range(30):
+        empty = (d + g) * np.exp(-least / (d + g))
+        g = np.maximum(g, np.where(empty > 0.02, np.ceil(empty + 3 * np.sqrt(empty)), 1))
+        g = np.minimum(g, d + 1)
+    return d, g.astype(np.int64)
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -111,22 +117,43 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, size of the set, class, signatures per row."""
+def _classes(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, size of the set, class per row."""
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [tokens(t, words) for t in texts(batch)]
-            sigs = signatures(sets, percent)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sigs).view(np.int64)))], ["doc_id", "n", "node", "sigs"])
+                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "node"])
+
+        return step
+
+    return per_batch(docs.select("doc_id", "text"), start, "doc_id long, n long, node long")
+
+
+def _shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """sig, node, leader: the classes that share a signature, with the smallest of them.
+
+    Signatures are made from the texts again instead of being kept, and are shuffled once: they are the
+    largest thing this join makes. A key has at most one row per document of the hundreds each document
+    has, and the window over it spills.
+    """
+
+    def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [tokens(t, words) for t in texts(batch)]
+            sigs = signatures(sets, percent)
+            nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(nodes, [len(s) for s in sigs]))], ["sig", "node"])
 
         return step
 
-    return per_batch(docs.select("doc_id", "text"), start, SCHEMA)
+    rows = per_batch(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), start, "sig long, node long")
+    same = Window.partitionBy("sig")
+    rows = rows.select("sig", "node", F.min("node").over(same).alias("leader"), F.max("node").over(same).alias("_last"))
+    return rows.filter("leader < _last").drop("_last").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -226,13 +253,10 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     columns are not looked at. Sets are compared whole; 64-bit hashes stand for shingles and classes.
     """
     steps = Steps(docs.sparkSession, "jaccard")
-    classes = steps.write(_classes(docs, words, percent))
+    classes = steps.write(_classes(docs, words))
     named = classes.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     first = steps.write(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    # signatures with several classes: minimum and maximum are combined before the shuffle
-    rows = named.select(F.explode("sigs").alias("sig"), "node")
-    ends = rows.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).filter("leader < _last")
-    shared = steps.write(rows.join(ends.drop("_last").hint("merge"), "sig").distinct())
+    shared = steps.write(_shared_signatures(docs, words, percent))
     wanted = steps.write(shared.select("node").distinct().join(first, "node"))
     sets = steps.write(_sets(docs, wanted, words).dropDuplicates(["node"]))
     stars = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()

@@ -120,12 +120,12 @@ def validate_event(df: DataFrame) -> DataFrame:
 
 
 def validate_tombstones(df: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Malformed ids, and batches above the size limit, carry an error."""
+    """Malformed ids, batches above the size limit, and rows without a batch carry an error."""
     sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_size"))
-    error = F.when(
+    error = F.when(F.col(batch).isNull(), F.lit("Missing batch id")).when(
         F.col("_size") > L.MAX_TOMBSTONES_PER_BATCH, F.lit(f"Max {L.MAX_TOMBSTONES_PER_BATCH} events per delete")
     ).when(~F.coalesce(F.col("event_id").rlike(L.UUID_PATTERN), F.lit(False)), F.lit("Invalid event_id"))
-    return df.join(sizes, batch).withColumn("error", error).drop("_size")
+    return df.join(sizes, batch, "left").withColumn("error", error).drop("_size")
 
 
 # ---- the year matrix ------------------------------------------------------------------

@@ -26,15 +26,22 @@ def trailing_baseline(series: DataFrame, days: int = 30) -> DataFrame:
     return series.withColumn("baseline", mean)
 
 
+#: Stands for the missing close date of a window that is still open.
+FOREVER = "9999-12-31"
+
+
 def mark_overlaps(windows: DataFrame) -> DataFrame:
     """attribution_ambiguous = another window on the same account and metric shares a day.
 
     No pairs are formed. Openings and closings are counted per day, which combines map-side, and
     a running total over those days (a calendar, however many changes an account has) tells how
     many windows are active. A window is ambiguous when it is not alone on its first day, or when
-    another one opens after that and before it closes.
+    another one opens after that and before it closes. A window without a close date stays open for
+    good; one without an opening date or a metric overlaps nothing that can be named.
     """
     group = ["account_id", "target_metric"]
+    given = windows
+    windows = windows.withColumn("window_closes", F.coalesce("window_closes", F.lit(FOREVER).cast("date")))
     one, none = F.lit(1), F.lit(0)
     opens = windows.select(*group, F.col("window_opens").alias("day"), one.alias("opened"), none.alias("closed"))
     closes = windows.select(*group, F.col("window_closes").alias("day"), none.alias("opened"), one.alias("closed"))
@@ -52,10 +59,12 @@ def mark_overlaps(windows: DataFrame) -> DataFrame:
     first = curve.select(*group, F.col("day").alias("window_opens"), F.col("_opened").alias("_at_open"),
                          (F.col("_opened") - F.col("_closed_before")).alias("_active"))
     last = curve.select(*group, F.col("day").alias("window_closes"), F.col("_opened").alias("_at_close"))
-    joined = windows.join(first, [*group, "window_opens"]).join(last, [*group, "window_closes"])
+    joined = windows.join(first, [*group, "window_opens"], "left").join(last, [*group, "window_closes"], "left")
+    closes = F.nullif(F.col("window_closes"), F.lit(FOREVER).cast("date")).alias("window_closes")
+    ambiguous = (F.col("_active") > 1) | (F.col("_at_close") > F.col("_at_open"))
     return joined.select(
-        *windows.columns,
-        ((F.col("_active") > 1) | (F.col("_at_close") > F.col("_at_open"))).alias("attribution_ambiguous"),
+        *[closes if c == "window_closes" else F.col(c) for c in given.columns],
+        F.coalesce(ambiguous, F.lit(False)).alias("attribution_ambiguous"),
     )
 
 

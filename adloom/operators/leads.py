@@ -145,20 +145,27 @@ def latest_vs_previous(rows: DataFrame, metric: str = "first_time", tolerance: f
     recent = rows.agg(F.slice(F.sort_array(F.collect_set("month"), asc=False), 1, 2)).scalar()
     marked = (
         rows.filter(F.array_contains(recent, F.col("month")) & (F.coalesce("client_name", F.lit("")) != ""))
-        .withColumn("cpl", cpl(metric))
         .withColumn("is_last", F.col("month") == F.element_at(recent, 1))
     )
 
     def value(column: str, last: bool) -> Column:
-        # one id per name and month is the normal case; the highest id wins otherwise
-        wanted = F.col("is_last") == last
-        return F.max(F.when(wanted, F.struct("customer_id", F.col(column).alias("v"))))["v"]
+        # a client with several ids has the sum of them
+        return F.sum(F.when(F.col("is_last") == last, F.col(column)))
 
-    out = marked.groupBy("client_name").agg(
-        F.coalesce(value("spend", True), F.lit(0.0)).alias("spend"),
-        F.coalesce(value(metric, True), F.lit(0)).alias("leads"),
-        value("cpl", True).alias("cpl"),
-        value("cpl", False).alias("prev_cpl"),
+    def price(spend: str, leads: str) -> Column:
+        return F.when(F.col(leads) > 0, F.col(spend) / F.col(leads))
+
+    money = F.col("spend").cast("decimal(38,9)")  # the same sum in any order
+    sums = marked.withColumn("_money", money).groupBy("client_name").agg(
+        value("_money", True).cast("double").alias("_spend"), value(metric, True).alias("_leads"),
+        value("_money", False).cast("double").alias("_prev_spend"), value(metric, False).alias("_prev_leads"),
+    )
+    out = sums.select(
+        "client_name",
+        F.coalesce("_spend", F.lit(0.0)).alias("spend"),
+        F.coalesce("_leads", F.lit(0)).alias("leads"),
+        price("_spend", "_leads").alias("cpl"),
+        price("_prev_spend", "_prev_leads").alias("prev_cpl"),
     )
     return out.filter((F.col("spend") > 0) | (F.col("leads") > 0)).withColumn(
         "trend", trend(F.col("cpl"), F.col("prev_cpl"), tolerance)
@@ -173,9 +180,9 @@ def most_expensive_first(rows: DataFrame) -> DataFrame:
 def cpl_summary(rows: DataFrame) -> DataFrame:
     """Unweighted mean of client CPLs beside the totals."""
     return rows.agg(
-        F.avg("cpl").alias("avg_cpl"),
+        (F.sum(F.col("cpl").cast("decimal(38,9)")).cast("double") / F.nullif(F.count("cpl"), F.lit(0))).alias("avg_cpl"),
         F.coalesce(F.sum("leads"), F.lit(0)).alias("total_leads"),
-        F.coalesce(F.sum("spend"), F.lit(0.0)).alias("total_spend"),
+        F.coalesce(F.sum(F.col("spend").cast("decimal(38,9)")).cast("double"), F.lit(0.0)).alias("total_spend"),
         F.count("cpl").alias("clients_with_cpl"),
     )
 

@@ -50,10 +50,20 @@ def spend_union(feeds: Mapping[str, DataFrame], served_elsewhere: Sequence[str]
 
 
 def resolve_client(df: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Canonical client by channel id; anything unknown stays visible as UNMAPPED."""
-    names = crosswalk.select("customer_id", "canonical_client")
+    """Canonical client by account id; anything unknown stays visible as UNMAPPED.
+
+    An id may stand under several channels: then each channel's spend takes that channel's client, and
+    a channel the crosswalk does not list takes the smallest, so that no row is doubled.
+    """
+    any_channel = crosswalk.groupBy("customer_id").agg(F.min("canonical_client").alias("_any"))
+    if "channel" in crosswalk.columns and "channel" in df.columns:
+        names = crosswalk.groupBy("customer_id", "channel").agg(F.min("canonical_client").alias("_own"))
+        named = df.join(names, ["customer_id", "channel"], "left").join(any_channel, "customer_id", "left")
+    else:
+        named = df.join(any_channel, "customer_id", "left").withColumn("_own", F.col("_any"))
+    named = named.withColumn("canonical_client", F.coalesce("_own", "_any")).drop("_own", "_any")
     unmapped = F.concat(F.lit("UNMAPPED: "), F.coalesce("account_name", "customer_id", F.lit("?")))
-    return df.join(names, "customer_id", "left").withColumn("client", F.coalesce("canonical_client", unmapped)).drop(
+    return named.withColumn("client", F.coalesce("canonical_client", unmapped)).drop(
         "canonical_client"
     )
 
@@ -65,11 +75,14 @@ def join_by_normalized_name(left: DataFrame, left_name: str, right: DataFrame, r
 
 
 def _account_daily(feeds: Mapping[str, DataFrame]) -> DataFrame:
-    """Pre-aggregate to account, channel and day before any name lookup."""
+    """Pre-aggregate to account, channel and day before any name lookup; accounts without an id are told
+    apart by their name."""
+    nameless = F.when(F.col("customer_id").isNull(), F.col("account_name"))
     return (
         spend_union(feeds)
-        .groupBy("customer_id", "channel", "date")
+        .groupBy("customer_id", nameless.alias("_name"), "channel", "date")
         .agg(F.min("account_name").alias("account_name"), F.sum("spend").alias("spend"))
+        .drop("_name")
     )
 
 

@@ -47,11 +47,18 @@ def evaluate_rules(
     conditions: rule_id, metric, operator, threshold, threshold_high
     overrides: account_id, rule_id, metric, threshold - replace a threshold for one account
 
-    A floor that is not met, or a missing metric, means cant_assess. Conditions describe failure;
+    A floor that is not met, or a missing metric, means cant_assess. Rules and conditions are a registry
+    kept by hand, of a size that does not follow the accounts. Conditions describe failure;
     a rule that does not fail but is close on every (match all) or any condition warns. The joins
     run on rule and metric names, so their output is accounts x applicable rules by design.
     """
-    checks = metrics.join(conditions, "metric").join(rules, "rule_id")
+    # every account meets every rule, whether it has the rule's metrics or not; the key of the metric
+    # join has the account in it, so no metric name gathers all accounts in one task
+    asked = conditions.join(rules, "rule_id")
+    accounts = metrics.select(*KEYS).distinct()
+    registry = asked.agg(F.collect_list(F.struct(*asked.columns))).scalar()
+    checks = accounts.select(*KEYS, registry.alias("_asked")).select(*KEYS, F.inline("_asked"))
+    checks = checks.join(metrics, [*KEYS, "metric"], "left")
     if overrides is not None:
         special = overrides.select("account_id", "rule_id", "metric", F.col("threshold").alias("_own"))
         checks = checks.join(special, ["account_id", "rule_id", "metric"], "left").withColumn(
@@ -100,18 +107,21 @@ def trust_void(verdicts: DataFrame, stage: str = "eligible", voided: Sequence[st
     )
 
 
-def account_state(verdicts: DataFrame) -> DataFrame:
-    """First failing stage, its family, and whether the account performs."""
+def account_state(verdicts: DataFrame, unassessed: str = "unknown") -> DataFrame:
+    """First failing stage, its family, and whether the account performs; an account of which nothing could
+    be assessed is `unassessed` in both."""
     order = S.rank_in(F.col("stage"), STAGES)
     failing = F.col("verdict") == "fail"
     out = verdicts.groupBy("account_id").agg(
         F.min(F.when(failing, order)).alias("_first"),
+        F.bool_and(F.col("verdict") == "cant_assess").alias("_blind"),
         F.bool_or((F.col("stage") == "eligible") & F.col("verdict").isin("warn", "fail")).alias("_doubt"),
         F.bool_or(failing & (F.col("stage") == "visible")).alias("_volume"),
         F.bool_or(failing & ~F.col("stage").isin("visible", "eligible")).alias("_efficiency"),
     )
     family = (
-        F.when(F.col("_doubt"), F.lit("trust_issue"))
+        F.when(F.col("_blind"), F.lit(unassessed))
+        .when(F.col("_doubt"), F.lit("trust_issue"))
         .when(F.col("_efficiency"), F.lit("efficiency_fail"))
         .when(F.col("_volume"), F.lit("volume_fail_upsell"))
         .otherwise(F.lit("healthy"))
@@ -119,7 +129,7 @@ def account_state(verdicts: DataFrame) -> DataFrame:
     stages = F.array(*[F.lit(s) for s in STAGES])
     return out.select(
         "account_id",
-        F.when(F.col("_doubt"), F.lit("unknown")).when(F.col("_first").isNotNull(), F.lit("no")).otherwise(F.lit("yes"))
+        F.when(F.col("_blind"), F.lit(unassessed)).when(F.col("_doubt"), F.lit("unknown")).when(F.col("_first").isNotNull(), F.lit("no")).otherwise(F.lit("yes"))
         .alias("performing"),
         family.alias("verdict_family"),
         F.get(stages, F.col("_first")).alias("first_failing_stage"),

@@ -217,9 +217,10 @@ def _(f: Frames) -> DataFrame:
 
 _LATEST = f"""
   WITH recent AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS r FROM (SELECT DISTINCT month FROM cpl_rows)),
-  priced AS (SELECT c.*, r, CASE WHEN unique_callers > 0 THEN c.spend / unique_callers END AS cpl
+  total AS (SELECT client_name, r, CAST(sum(CAST(c.spend AS DECIMAL(38,9))) AS DOUBLE) AS spend, CAST(sum(unique_callers) AS BIGINT) AS unique_callers
     FROM cpl_rows c JOIN recent USING (month)
-    WHERE r <= 2 QUALIFY row_number() OVER (PARTITION BY client_name, month ORDER BY customer_id DESC) = 1),
+    WHERE r <= 2 AND coalesce(client_name, '') <> '' GROUP BY client_name, r),
+  priced AS (SELECT *, CASE WHEN unique_callers > 0 THEN spend / unique_callers END AS cpl FROM total),
   latest AS (SELECT coalesce(a.client_name, b.client_name) AS client_name, coalesce(a.spend, 0.0) AS spend,
       coalesce(a.unique_callers, 0) AS leads, a.cpl, b.cpl AS prev_cpl
     FROM (SELECT * FROM priced WHERE r = 1) a FULL OUTER JOIN (SELECT * FROM priced WHERE r = 2) b

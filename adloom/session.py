@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -46,15 +45,11 @@ def tune(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared checkpoint folder named by the cluster.
 
-    Only a local-mode session without that setting falls back to a temporary folder,
-    because there driver and executors share one machine.
+    There is no fallback: a folder that only one machine sees would lose data on a cluster.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="adloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from adloom.functions.keyed import latest_per_key
@@ -145,8 +145,7 @@ def replace_range(
         work = job.write(staged.select(*schema.names))
         if work.isEmpty():
             return False
-        stray_dates = work.filter(~in_range).select(date_col).distinct()
-        kept = read_partitioned(spark, path, schema).filter(~in_range).join(stray_dates, date_col, "left_semi")
+        kept = _touched(read_partitioned(spark, path, schema).filter(~in_range), date_col, work.filter(~in_range))
         out = job.write(work.unionByName(kept.select(*schema.names)))
         _write_partitions(out, path, date_col, cluster)
         # one row per calendar day of the range: bounded by the look-back, not by the data
@@ -160,17 +159,25 @@ def replace_range(
 
 
 # ---- upsert ----------------------------------------------------------------------------
+def _unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows themselves, or an error when two have the same key."""
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1
+    text = F.concat(F.lit("several staged rows for key "), F.to_json(F.struct(*keys)), F.lit(": give the order that decides"))
+    return rows.withColumn("_again", F.when(again, F.raise_error(text).cast("boolean")).otherwise(F.lit(False))).filter(~F.col("_again")).drop("_again")
+
+
 def merged(
     target: DataFrame, staged: DataFrame, keys: Sequence[str], now: Column,
     set_cols: Sequence[str] | None = None, newest: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Update matches, insert the rest, never delete; the load time marks changed rows.
 
-    Staged rows are made unique per key first (newest wins when an order is given).
+    Of staged rows with one key the newest by the given order wins; without an order a repeated key
+    stops the job, since any choice would be a guess.
     """
     data = [c for c in target.columns if c not in (*keys, "load_timestamp")]
     updated = set(data if set_cols is None else set_cols)
-    unique = latest_per_key(staged, list(keys), newest) if newest else staged.dropDuplicates(list(keys))
+    unique = latest_per_key(staged, list(keys), newest) if newest else _unique(staged, list(keys))
     s = unique.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in data], F.lit(True).alias("_hit"))
     t = target.withColumn("_old", F.lit(True))
     hit, old = F.coalesce("_hit", F.lit(False)), F.coalesce("_old", F.lit(False))
@@ -186,6 +193,15 @@ def merged(
     return t.join(s, list(keys), "full").select(*cols)
 
 
+def _touched(table: DataFrame, partition: str, rows: DataFrame) -> DataFrame:
+    """The partitions of a table that rows name, as a literal list: the scan lists and reads only those.
+
+    The list has one value per calendar day touched, so the span of the batch bounds it, not its rows.
+    """
+    days = [r[0] for r in rows.select(partition).distinct().collect()]
+    return table.filter(F.col(partition).isin(days) if days else F.lit(False))
+
+
 def merge_upsert(
     spark: SparkSession, path: str, staged: DataFrame, schema: StructType, keys: Sequence[str], partition: str,
     now: Column, set_cols: Sequence[str] | None = None, newest: Sequence[Column] | None = None,
@@ -196,8 +212,7 @@ def merge_upsert(
         raise ValueError("the partition column must be part of the key")
     with _Work(spark, "merge") as job:
         work = job.write(staged)
-        touched = work.select(partition).distinct()
-        target = read_partitioned(spark, path, schema).join(touched, partition, "left_semi").select(*schema.names)
+        target = _touched(read_partitioned(spark, path, schema), partition, work)
         out = job.write(merged(target, work, keys, now, set_cols, newest))
         _write_partitions(out, path, partition, [k for k in keys if k != partition])
 
@@ -216,7 +231,7 @@ def upsert_by_id(
         table = read_partitioned(spark, path, schema)
         old_parts = table.join(work.select(*keys).distinct(), list(keys), "left_semi").select(partition)
         touched = job.write(old_parts.union(work.select(partition)).distinct())
-        target = table.join(touched, partition, "left_semi").select(*schema.names)
+        target = _touched(table, partition, touched).select(*schema.names)
         out = job.write(merged(target, work, keys, now, None, newest))
         _write_partitions(out, path, partition, list(keys))
         left = {str(r[0]) for r in out.select(partition).distinct().collect()}

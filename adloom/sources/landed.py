@@ -114,12 +114,11 @@ def target_dates(
 
 
 # ---- search ads health ----------------------------------------------------------------------
-def list_child_accounts(accounts: DataFrame, cap: int | None = None) -> DataFrame:
-    """Enabled accounts that are not managers; the optional cap is a trial-run switch."""
-    rows = accounts.filter(~F.col("manager") & (F.col("status") == "ENABLED")).select(
+def list_child_accounts(accounts: DataFrame) -> DataFrame:
+    """Enabled accounts that are not managers."""
+    return accounts.filter(~F.col("manager") & (F.col("status") == "ENABLED")).select(
         F.col("id").cast("string").alias("customer_id"), F.coalesce("descriptive_name", F.lit("")).alias("descriptive_name")
     )
-    return rows.orderBy("customer_id").limit(cap) if cap else rows
 
 
 def read_ad_policy_landed(records: DataFrame, snapshot: Column) -> DataFrame:

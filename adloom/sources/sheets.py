@@ -14,18 +14,23 @@ def read_sheet(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def read_committed_sheet(df: DataFrame) -> DataFrame:
-    """Text year and month to numbers; rows whose cell cannot be read are dropped from the base
-    (count them with quality.suppressed_rows)."""
+    """Text year and month to numbers, amounts as exact as the table declares them. Rows whose month
+    cannot be read are in `unreadable_sheet_rows`."""
     typed = df.select(
         "client",
         "channel",
         F.trim("year").try_cast("int").alias("year"),
         F.trim("month").try_cast("int").alias("month"),
-        F.col("amount").try_cast("decimal(12,2)").alias("amount"),
+        F.col("amount").try_cast("decimal(38,9)").alias("amount"),
     )
     return typed.filter(F.col("year").isNotNull() & F.col("month").isNotNull())
 
 
+def unreadable_sheet_rows(df: DataFrame) -> DataFrame:
+    """The rows that `read_committed_sheet` cannot place in a month, as they are."""
+    return df.filter(F.trim("year").try_cast("int").isNull() | F.trim("month").try_cast("int").isNull())
+
+
 def materialize_sheet(df: DataFrame, base_path: str) -> str:
     """Full replace; readers keep the last complete copy when a refresh fails."""
     return publish(df, base_path)

@@ -18,7 +18,8 @@ HEADLINE = [
     "calls_attribution", "calls_daily", "ads_daily_table", "dow_hour_grid", "cost_per_lead", "cpl_latest_vs_previous",
     "alerts_active", "alert_by_manager", "client_heatmap_90d", "spend_daily_unified", "actual_spend_all", "budget_base_current",
     "budget_matrix", "pacing_api", "pacing_context", "budget_rollover", "target_with_catchup", "rule_registry", "user_access",
-    "campaign_triage", "waste_by_cause", "rule_verdicts", "overlapping_windows", "negative_conflicts", "upserted_rows",
+    "campaign_triage", "waste_by_cause", "rule_verdicts", "overlapping_windows", "negative_conflicts", "upserted_rows", "upserted_table", "range_replaced_table",
+    "streamed_restatement",
 ]
 
 

@@ -69,11 +69,13 @@ class Linear:
         return _logistic(x.dot(self.words) + earlier @ self.earlier + self.bias)
 
 
-def fit_linear(x: Rows, earlier: np.ndarray, y: np.ndarray, rounds: int = 120, decay: float = 2e-4, rate: float = 0.5) -> Linear:
-    """Logistic regression with squared penalty; full gradients with per-weight step sizes."""
+def fit_linear(x: Rows, earlier: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1.0, rate: float = 0.5) -> Linear:
+    """Logistic regression with squared penalty, weighed against the sum over all rows; full gradients with
+    per-weight step sizes."""
     m = Linear(np.zeros(x.width), np.zeros(earlier.shape[1]), 0.0)
     if not x.size:
         return m
+    decay = penalty / x.size
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     m.bias = float(np.log(share / (1 - share)))
     sw, se, sb = np.full(x.width, 1e-8), np.full(earlier.shape[1], 1e-8), 1e-8

@@ -14,7 +14,7 @@ part also holds the other tokens of a document.
 2. A signature whose classes are all in one component needs no more work, which settles groups of
    copies without comparing all pairs.
 3. The classes of the other signatures are partitioned into groups of similar sets (those that met the
-   same smallest class, split into blocks of about BLOCK). The matrix row of a group is the union of
+   same smallest class, split into blocks of about BLOCK tokens). The matrix row of a group is the union of
    its tokens. For a query that shares a signature with a group, the overlap with that union bounds
    the overlap with every member; only groups whose bound reaches the threshold are opened.
 """
@@ -36,8 +36,7 @@ from adloom.llm.work import Steps
 
 RATIO = 1.25  # sizes of a band
 SCHEMES = 4
-BLOCK = 128  # classes of a group
-QUERIES = 256  # queries that meet a group in one call
+BLOCK = 1 << 16  # tokens of a group, and of the queries that meet it in one call
 
 
 def tokens(text: bytes, words: int) -> np.ndarray:
@@ -207,20 +206,20 @@ def _open_groups(shared: DataFrame, sets: DataFrame, steps: Steps, percent: int)
     # classes that meet have the same home where that takes one more step
     near = shared.select("sig", "node").join(home, "node").groupBy("sig").agg(F.min("home").alias("near"))
     home = shared.select("sig", "node", "comp").join(near, "sig").groupBy("node").agg(F.min("near").alias("home"), F.min("comp").alias("comp"))
-    size = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    home = home.join(sets.select("node", "n"), "node")
+    size = home.groupBy("home").agg(F.sum("n").alias("size"))
     block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-    home = steps.write(home.join(size, "home").select("node", "comp", block.alias("block")))
-    rows = steps.write(shared.select("sig", "node").join(home.drop("comp"), "node"))
-    groups = rows.select("sig", F.col("block").alias("group")).distinct()
-    # of two blocks, the queries of the smaller one meet the larger one
-    meet = rows.join(groups, "sig").filter("block <= group").select("node", "group").distinct()
-    only = home.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).withColumnRenamed("block", "group")
-    meet = meet.join(only, "group").join(home.select("node", "comp"), "node").filter("NOT (lo = hi AND comp = lo)")
-    meet = steps.write(meet.select("node", "group", "comp"))
-    load = meet.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns"))
+    home = steps.write(home.join(size, "home").select("node", "n", "comp", block.alias("block")))
+    rows = steps.write(shared.select("sig", "node").join(home.drop("n"), "node"))
+    groups = rows.groupBy("sig", F.col("block").alias("group")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # of two blocks, the queries of the smaller one meet the larger one, by the signatures that members
+    # of another component hold there: any other link would join what is joined already
+    meet = rows.join(groups, "sig").filter("block <= group AND NOT (lo = hi AND comp = lo)")
+    meet = steps.write(meet.select("node", "group", "comp").distinct())
+    load = meet.join(home.select("node", "n"), "node").groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("turns"))
     query = meet.join(load, "group").withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns")).cast("int"))
     query = query.join(sets, "node").select(*[F.col(c).alias(f"q_{c}") for c in ("group", "turn", "node", "comp", "toks")])
-    member = home.withColumnRenamed("block", "group").join(load, "group").join(sets, "node")
+    member = home.drop("n").withColumnRenamed("block", "group").join(load, "group").join(sets, "node")
     member = member.select("group", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "node", "comp", "toks")
 
     def open_(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:

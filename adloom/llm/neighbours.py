@@ -4,7 +4,8 @@ Vectors are clustered; each cluster is a posting list. Centroids come from k-mea
 with a penalty on crowded clusters, so that lists stay balanced. A vector near a boundary is replicated
 to further clusters whose distance is within a ratio of the nearest one, unless a chosen centroid is
 closer to that centroid than the vector is. A query walks a neighbour graph over the centroids, held in
-memory by every task, and reads those lists whose centroid lies within a ratio of the closest one.
+memory by every task, and reads those lists whose centroid lies within a ratio of the closest distance up
+to which the lists own k + 1 vectors. A vector is owned by its nearest list alone, so that many are distinct.
 
 Largest inner product becomes smallest distance by one more component: sqrt(M^2 - |x|^2), M the largest
 norm; 0 for queries. Of equal vectors only the `k + 1` smallest ids can be in any answer, so the others
@@ -70,6 +71,21 @@ class Lists:
                         heapq.heappop(kept)
         return sorted((-d, c) for d, c in kept)
 
+    def read(self, q: np.ndarray, owned: np.ndarray, need: int) -> list[int]:
+        """Lists a lifted query reads: up to PRUNE times the distance within which lists own `need` vectors.
+
+        Where the walk ends short of that distance, all centroids are compared.
+        """
+        found = self.walk(q)
+        dist, order = np.array([d for d, _ in found]), np.array([c for _, c in found])
+        sums = owned[order].cumsum()
+        if len(order) < len(self.centroids) and (sums[-1] < need or dist[-1] < PRUNE * dist[np.searchsorted(sums, need)]):
+            dist = np.linalg.norm(self.centroids - q, axis=1)
+            order = np.argsort(dist, kind="stable")
+            dist, sums = dist[order], owned[order].cumsum()
+        reach = dist[min(int(np.searchsorted(sums, need)), len(dist) - 1)]
+        return order[dist <= PRUNE * reach + 1e-12].tolist()
+
     def lists_of(self, x: np.ndarray) -> list[list[int]]:
         """Clusters each lifted vector is put into, the nearest first."""
         gaps = np.linalg.norm(self.centroids[:, None] - self.centroids[None], axis=2) if len(self.centroids) <= 512 else None
@@ -140,33 +156,34 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMP
     schema = "query_id long, rank int, vec_id long, score double"
     if not count:
         return vectors.sparkSession.createDataFrame([], schema)
+    copies = Window.partitionBy("v").orderBy("vec_id")
+    kept = steps.write(rows.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1))
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
     lists = fit_lists(_matrix(picked), count, float(top))
-    copies = Window.partitionBy("v").orderBy("vec_id")
-    kept = rows.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy")
 
     def post() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             own = lists.lists_of(lists.lift(_matrix(column(batch, "v")), False))
             at = np.repeat(np.arange(len(own)), [len(o) for o in own])
-            return pa.RecordBatch.from_arrays([pa.array([c for o in own for c in o], pa.int32()), *[col.take(pa.array(at)) for col in batch.columns]],
-                                              ["list", *batch.schema.names])
+            owner = [i == 0 for o in own for i in range(len(o))]
+            return pa.RecordBatch.from_arrays([pa.array([c for o in own for c in o], pa.int32()), pa.array(owner, pa.bool_()),
+                                               *[col.take(pa.array(at)) for col in batch.columns]], ["list", "owner", *batch.schema.names])
 
         return step
 
     def probe() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = []
-            for q in lists.lift(_matrix(column(batch, "v")), True):
-                found = lists.walk(q)
-                own.append([c for d, c in found if d <= PRUNE * found[0][0] + 1e-12])
+            own = [lists.read(q, owned, k + 1) for q in lists.lift(_matrix(column(batch, "v")), True)]
             at = np.repeat(np.arange(len(own)), [len(o) for o in own])
             return pa.RecordBatch.from_arrays([pa.array([c for o in own for c in o], pa.int32()), *[col.take(pa.array(at)) for col in batch.columns]],
                                               ["list", *batch.schema.names])
 
         return step
 
-    posted = steps.write(per_batch(kept.select("vec_id", "v"), post, "list int, vec_id long, v array<double>"))
+    posted = steps.write(per_batch(kept.select("vec_id", "v"), post, "list int, owner boolean, vec_id long, v array<double>"))
+    owned = np.zeros(len(lists.centroids), np.int64)
+    for row in posted.filter("owner").groupBy("list").count().collect():
+        owned[row["list"]] = row["count"]
     probes = steps.write(per_batch(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v"), probe, "list int, vec_id long, v array<double>"))
     # long lists and popular ones are dealt into parts: blocks of vectors times turns of queries
     blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -33,7 +33,7 @@ CENTROIDS = 4_096  # at most; broadcast to every task, so 4096 x (dim + 1) float
 REPLICAS = 6
 CLOSE = 1.25  # distance ratio of replicas
 DEGREE = 16  # links of a centroid
-BEAM = 96  # centroids a walk keeps
+BEAM = 96  # centroids a walk keeps at least, besides all it meets within PRUNE
 PRUNE = 1.45  # distance ratio of lists a query reads
 BLOCK = 2_048  # vectors of a list in one call
 QUERIES = 256  # queries of a list in one call
@@ -50,11 +50,12 @@ class Lists:
         return np.column_stack([x, extra])
 
     def walk(self, q: np.ndarray, beam: int = BEAM) -> list[tuple[float, int]]:
-        """(distance, centroid) found from a fixed entry by best-first search, nearest first."""
+        """(distance, centroid) found from a fixed entry by best-first search, nearest first; `beam` of them, or
+        more where more lie within PRUNE of the nearest."""
         beam = min(beam, len(self.centroids))
         seen = {0}
         d0 = float(np.linalg.norm(q - self.centroids[0]))
-        todo, kept = [(d0, 0)], [(-d0, 0)]
+        todo, kept, best = [(d0, 0)], [(-d0, 0)], d0
         while todo:
             d, c = heapq.heappop(todo)
             if len(kept) >= beam and d > -kept[0][0]:
@@ -64,10 +65,11 @@ class Lists:
                 continue
             seen.update(new)
             for dist, n in zip(np.linalg.norm(self.centroids[new] - q, axis=1).tolist(), new):
-                if len(kept) < beam or dist < -kept[0][0]:
+                best = min(best, dist)
+                if len(kept) < beam or dist < -kept[0][0] or dist <= PRUNE * best:
                     heapq.heappush(todo, (dist, n))
                     heapq.heappush(kept, (-dist, n))
-                    if len(kept) > beam:
+                    while len(kept) > beam and -kept[0][0] > PRUNE * best:
                         heapq.heappop(kept)
         return sorted((-d, c) for d, c in kept)
 
@@ -105,7 +107,7 @@ class Lists:
 
 
 def fit_lists(sample: np.ndarray, count: int, top: float) -> Lists:
-    """Centroids of about count / LIST balanced clusters, and their graph."""
+    """Centroids of about count / LIST balanced clusters of distinct vectors, and their graph."""
     lists = Lists(np.zeros((0, 0)), np.zeros((0, 0), int), top)
     x = lists.lift(sample, False)
     k = max(1, min(CENTROIDS, math.ceil(count / LIST), len(x)))
@@ -122,6 +124,8 @@ def fit_lists(sample: np.ndarray, count: int, top: float) -> Lists:
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         c = np.where(now[:, None] > 0, sums / np.maximum(now, 1)[:, None], c)
+    c = c[np.sort(np.unique(c, axis=0, return_index=True)[1])]  # equal centroids would link to each other only
+    k = len(c)
     near = np.argsort(((c ** 2).sum(1)[:, None] - 2 * c @ c.T + (c ** 2).sum(1)[None]), axis=1, kind="stable")[:, 1: DEGREE + 1]
     # a ring through all centroids keeps the graph connected
     ring = np.roll(np.arange(k), -1)[:, None]
@@ -158,8 +162,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMP
         return vectors.sparkSession.createDataFrame([], schema)
     copies = Window.partitionBy("v").orderBy("vec_id")
     kept = steps.write(rows.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1))
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
-    lists = fit_lists(_matrix(picked), count, float(top))
+    # one row of each vector: a common one would start many centroids at one point
+    picked = kept.filter("_copy = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    lists = fit_lists(_matrix(picked), kept.count(), float(top))
 
     def post() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -29,3 +29,19 @@ def test_tight_groups_get_all_rows(spark, monkeypatch):
     r = np.random.default_rng(3)
     groups = np.repeat(r.normal(size=(80, 16)), 8, axis=0)
     assert recall(spark, groups + 1e-4 * r.normal(size=groups.shape), 7) >= 0.9
+
+
+def test_a_common_vector_leaves_the_graph_whole(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST", 8)
+    r = np.random.default_rng(4)
+    centers = r.normal(size=(10, 16))
+    x = centers[r.integers(0, 10, 4_000)] + 0.4 * r.normal(size=(4_000, 16))
+    x[np.arange(4_000) % 3 == 0] = centers[0]
+    assert recall(spark, x, 20) >= 0.9
+
+
+def test_centroids_differ():
+    x = np.random.default_rng(5).normal(size=(3_000, 8))
+    x[::3] = x[0]
+    lists = neighbours.fit_lists(x, 128 * 400, float(np.linalg.norm(x, axis=1).max()))
+    assert len(np.unique(lists.centroids, axis=0)) == len(lists.centroids) == len(lists.links)

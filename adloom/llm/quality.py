@@ -5,6 +5,7 @@ Words are runs of characters other than ASCII white space; a line is what stands
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ SEPARATORS = frozenset(s.encode() for s in ("|", "/", ">", "»", "›", "·", "
 SYMBOLS = b"#*$%&|<>"
 BOILERPLATE = (b"all rights reserved", b"licensed under", b"privacy policy", b"terms of use", b"terms of service", b"cookie",
                b"javascript", b"lorem ipsum", b"click here", b"subscribe to", b"sign up for", b"log in")
+# whole words only (bytes above ASCII count as letters); a plural is the same phrase
+STOCK = re.compile(rb"(?<![\w\x80-\xff])(?:" + b"|".join(map(re.escape, BOILERPLATE)) + rb")s?(?![\w\x80-\xff])")
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,8 @@ class Rules:
 
     short_line: int = 5  # a line with fewer words must end like a sentence
     separators: int = 25  # words of a line that are separators
+    stock_line: int = 20  # a line with at most so many words fails by one stock phrase
+    stock: int = 20  # words of a longer line that are in stock phrases
     symbols: int = 60  # symbols of a line per 100 words
     lost: int = 50  # words of a document on failing lines
     min_words: int = 50
@@ -45,7 +50,10 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> bool:
     if 100 * sum(w in SEPARATORS for w in words) > rules.separators * n:
         return True
     low = line.lower()
-    return any(p in low for p in BOILERPLATE)
+    if not any(p in low for p in BOILERPLATE):
+        return False
+    found = STOCK.findall(low)
+    return bool(found) and (n <= rules.stock_line or 100 * sum(len(p.split()) for p in found) > rules.stock * n)
 
 
 def repeated_words(counts: list[int], hashes: np.ndarray) -> list[int]:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adloom.llm import (chunk_bpe, jaccard, langid, neighbours, oracle, packing, quality, substring, token_counts, toxicity, url_filter,
-                        warc)
+from adloom.llm import (chunk_bpe, jaccard, langid, neighbours, oracle, packing, prefix_trie, quality, repair, substring, token_counts,
+                        toxicity, url_filter, warc)
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -61,11 +61,20 @@ def op11_lexical_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_count_min_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_sorted_stream_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_sum_of_squares_packing, op2_token_group_jaccard, op3_relative_lz_dedup, op4_whole_token_counts, op5_toxicity_chain,
               op6_chunk_reuse_bpe, op7_posting_list_neighbours, op8_line_first_cleaning, op9_gzip_normaliser,
-              op10_hyperdimensional_langid, op11_lexical_url_trees)
+              op10_hyperdimensional_langid, op11_lexical_url_trees,
+              op12_count_min_prefix_trie, op13_sorted_stream_repair)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_token_group_jaccard": oracle.JACCARD,

@@ -16,6 +16,8 @@ Inputs and their defined results:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -34,6 +36,8 @@ RULES = [
 #: Largest number of rule-labelled URLs the trees are fitted on (a hash sample above it).
 TRAIN_ROWS = 200_000
 TREES, DEPTH, SEED = 30, 4, 7
+#: Rows of the training sample per partition.
+SAMPLE_PART_ROWS = 50_000
 
 FEATURES = ["url_len", "host_len", "path_len", "depth", "digit_ratio", "entropy", "n_params", "n_labels",
             "suffix_len", "suffix_share", "suffix_block_rate", "has_www", "n_hyphens", "ext_len", "is_https"]
@@ -143,6 +147,8 @@ def judge(pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
         share = min(1.0, train_rows / n)
         sample = labelled.where(F.pmod(F.xxhash64("page_id", "_url"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
         sample = sample.withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+        # the sample is bounded; every boosting round is a job, so its task count follows the sample, not the input
+        sample = sample.repartition(max(1, math.ceil(min(n, train_rows) / SAMPLE_PART_ROWS)))
         model = Pipeline(stages=[
             VectorAssembler(inputCols=FEATURES, outputCol="_features"),
             GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED,

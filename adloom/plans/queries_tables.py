@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DateType, DecimalType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from adloom.functions import scalars as S
 from adloom.operators.budget import HISTORY_COLUMNS
@@ -17,7 +17,7 @@ from adloom.session import work_dir
 from adloom.sinks import tables as T
 from adloom.sources import landed as L, payloads as P, sheets
 from adloom.sources.tables import read_table
-from adloom.streaming import jobs as J
+from adloom.streaming import jobs as J, pulls as PL
 
 
 @query("pruned_scan", "SRC-01", sql("", "SELECT l_returnflag, count(*) AS rows FROM lineitem GROUP BY 1"))
@@ -302,6 +302,58 @@ def _(f: Frames) -> DataFrame:
     return T.read_partitioned(f.spark, path, _SOCIAL)
 
 
+@query("streamed_range_pulls", "STM-03", sql("line_spend", f"""
+  WITH d AS (SELECT customer_id, channel AS campaign, date, CAST(sum(spend) AS DECIMAL(28,4)) AS cost FROM line_spend GROUP BY 1, 2, 3)
+  SELECT customer_id, campaign, {day('date')} AS date, CAST(cost * 0 AS DOUBLE) AS cost FROM d
+  WHERE d.date NOT BETWEEN DATE '2023-01-01' AND DATE '2023-12-31'
+  UNION ALL SELECT customer_id, campaign, {day('date')}, CAST(cost AS DOUBLE) FROM d WHERE d.date BETWEEN DATE '2023-01-01' AND DATE '2023-05-31'
+  UNION ALL SELECT customer_id, campaign, {day('date')}, CAST(cost AS DOUBLE) FROM d
+  WHERE d.date BETWEEN DATE '2023-06-01' AND DATE '2023-12-30' AND campaign <> 'meta'"""))
+def _(f: Frames) -> DataFrame:
+    """Four pulls at day grain over two rounds of landing: pull 1 (old figures, every day), pull 2 (corrected
+    figures for the second half of 2023 without one channel and with nothing on its last day) over both rounds,
+    pull 3 (an older retry of pull 2's range with wrong figures) and pull 4 (the first half of 2023) in the
+    second. Newest complete pull per day wins; pull 2's last day is emptied."""
+    spark = f.spark
+    rows = _daily(f).select("customer_id", "campaign", "date", F.col("cost").cast("decimal(28,4)").alias("cost"))
+    base = work_dir(spark, "pulls")
+    landing, manifests, staging, markers, path = (f"{base}/{n}" for n in ("landing", "manifests", "staging", "markers", "table"))
+    schema = StructType([*_SOCIAL.fields, StructField("pull_id", LongType())])
+    files: dict[int, int] = {}
+
+    def land(pull: int, df: DataFrame, chunk: int, parts: int) -> None:
+        folder = f"{landing}/p{pull}-c{chunk}"
+        df.withColumn("pull_id", F.lit(pull).cast("long")).repartition(parts).write.parquet(folder)
+        files[pull] = files.get(pull, 0) + sum(1 for n in T.children(spark, folder) if n.endswith(".parquet"))
+
+    def manifest(pull: int, since: date, until: date, pulled_at: str) -> None:
+        spark.createDataFrame([(pull, since, until, files.get(pull, 0))], "pull_id long, since date, until date, n_files long") \
+            .withColumn("pulled_at", F.to_timestamp(F.lit(pulled_at))).write.mode("append").parquet(manifests)
+
+    def run(round_: int) -> None:
+        data = spark.readStream.schema(schema).parquet(f"{landing}/*")
+        PL.stage_files(data, staging, markers, f"{base}/ckpt-stage").awaitTermination()
+        marks = spark.readStream.schema(PL.MARKER).parquet(f"{markers}/*")
+        heads = spark.readStream.schema(PL.MANIFEST).parquet(manifests)
+        PL.apply_pulls(marks, heads, staging, path, _SOCIAL, "date", f"{base}/ckpt-apply").awaitTermination()
+
+    span = rows.agg(F.min("date"), F.max("date")).first()
+    h1, h2, mid, end = date(2023, 1, 1), date(2023, 6, 1), date(2023, 9, 15), date(2023, 12, 31)
+    corrected = rows.where(F.col("date").between(h2, end) & (F.col("campaign") != "meta") & (F.col("date") != end))
+    land(1, rows.withColumn("cost", (F.col("cost") * 0).cast("decimal(28,4)")), 0, 2)
+    manifest(1, span[0], span[1], "2024-02-01 00:00:00")
+    land(2, corrected.where(F.col("date") < mid), 0, 1)
+    run(1)
+    land(2, corrected.where(F.col("date") >= mid), 1, 2)
+    manifest(2, h2, end, "2024-03-01 00:00:00")
+    land(3, rows.where(F.col("date").between(h2, end)).withColumn("cost", (F.col("cost") * 5).cast("decimal(28,4)")), 0, 1)
+    manifest(3, h2, end, "2024-02-15 00:00:00")
+    land(4, rows.where(F.col("date").between(h1, date(2023, 5, 31))), 0, 1)
+    manifest(4, h1, date(2023, 5, 31), "2024-02-20 00:00:00")
+    run(2)
+    return T.read_partitioned(spark, path, _SOCIAL)
+
+
 @query("streamed_audit", "STM-04", """
   SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS action, 'user' || user_id || '@example.com' AS target_email, props AS detail FROM events""")
 def _(f: Frames) -> DataFrame:

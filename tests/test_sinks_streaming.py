@@ -169,3 +169,17 @@ def test_registry_edits(spark):
 
 def test_work_dir_reads_the_session_setting(spark):
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_newest_complete_pull_owns_each_day(spark):
+    from datetime import date, datetime
+
+    from adloom.streaming.pulls import owned_days
+    done = spark.createDataFrame([(2, date(2024, 1, 1), date(2024, 1, 3), datetime(2024, 3, 1)),
+                                  (3, date(2024, 1, 2), date(2024, 1, 4), datetime(2024, 2, 1))],
+                                 "pull_id long, since date, until date, pulled_at timestamp")
+    versions = spark.createDataFrame([(date(2024, 1, 4), 9, datetime(2024, 2, 10)), (date(2024, 1, 1), 1, datetime(2024, 1, 1))],
+                                     "day date, pull_id long, pulled_at timestamp")
+    got = sorted((r.day.isoformat(), r.pull_id) for r in owned_days(done, versions).collect())
+    # day 4 stays with the newer pull 9 of an earlier batch; pull 3 is older than pull 2 on days 2 and 3
+    assert got == [("2024-01-01", 2), ("2024-01-02", 2), ("2024-01-03", 2)]

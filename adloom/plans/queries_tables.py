@@ -243,7 +243,7 @@ def _(f: Frames) -> DataFrame:
     schema = StructType.fromDDL("event_id string, deleted_by string, deleted_at timestamp")
     for _ in range(2):
         T.append_tombstones(f.spark, stones, f.tombstones, F.lit("admin@example.com"), f.now, schema)
-    return f.spark.read.schema(events.schema).parquet(log).join(f.spark.read.schema(schema).parquet(stones), "event_id", "left_anti")
+    return T.read_log(f.spark, log, events.schema).join(T.read_log(f.spark, stones, schema), "event_id", "left_anti")
 
 
 @query("materialized_sheet", "SRC-13 SNK-03", sql("sheet", """

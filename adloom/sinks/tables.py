@@ -249,16 +249,65 @@ def accumulate_snapshot(
 
 
 # ---- append-only logs --------------------------------------------------------------------
-def new_rows(log: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose id is not in the log yet, one per id."""
-    return rows.dropDuplicates([key]).join(log.select(key), key, "left_anti").select(*log.columns)
+#: Hash buckets of an append-only log: an append reads the ids of the buckets its batch touches, no others.
+LOG_BUCKETS = 64
+COMMITS = "_commits"
 
 
-def append_event(spark: SparkSession, path: str, rows: DataFrame, schema: StructType, key: str = "event_id") -> None:
-    """Append with id de-duplication, so a retried request adds nothing."""
-    log = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+def log_bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(LOG_BUCKETS)).cast("int")
+
+
+def one_per_id(rows: DataFrame, key: str, order: Sequence[Column] | None = None) -> DataFrame:
+    """Equal rows are one retry; different rows under one id: the first by `order`, or an error without one."""
+    rows = rows.dropDuplicates(rows.columns)
+    if order:
+        first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
+        return rows.withColumn("_first", first).filter("_first").drop("_first")
+    return _unique(rows, [key])
+
+
+def log_slice(spark: SparkSession, path: str, schema: StructType, key: str, buckets: Sequence[int]) -> DataFrame:
+    """Ids of the log in the given buckets only: the files of other buckets are not listed or read."""
+    ids = StructType([schema[key]])
+    found = [f"{path}/bucket={b}" for b in sorted(buckets) if exists(spark, f"{path}/bucket={b}")]
+    return spark.read.schema(ids).parquet(*found) if found else spark.createDataFrame([], ids)
+
+
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The log's rows without its bucket column."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def _commit_mark(spark: SparkSession, path: str, batch: str):
+    fs, p = _fs(spark, f"{path}/{COMMITS}/{batch}")
+    return fs, p
+
+
+def append_event(
+    spark: SparkSession, path: str, rows: DataFrame, schema: StructType, key: str = "event_id",
+    order: Sequence[Column] | None = None, batch: str | None = None,
+) -> None:
+    """Append with id de-duplication, so a retried request adds nothing.
+
+    The batch is reduced to one row per id, its buckets are listed (at most LOG_BUCKETS values), and only
+    the id column of those buckets is read for the anti join. With `batch`, a committed batch is recorded
+    and a replay of it reads nothing; a crash between append and record is caught by the anti join.
+    """
+    if batch is not None:
+        fs, mark = _commit_mark(spark, path, batch)
+        if fs.exists(mark):
+            return
+    staged = one_per_id(rows.select(*schema.names), key, order).withColumn("bucket", log_bucket(key))
     with _Work(spark, "append") as job:
-        job.write(new_rows(log, rows, key)).write.mode("append").parquet(path)
+        work = job.write(staged)
+        buckets = [r[0] for r in work.select("bucket").distinct().collect()]
+        fresh = work.join(log_slice(spark, path, schema, key, buckets), key, "left_anti")
+        fresh.select(*schema.names, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    if batch is not None:
+        fs.create(mark).close()
 
 
 def tombstones_for(ids: DataFrame, by: Column, at: Column) -> DataFrame:

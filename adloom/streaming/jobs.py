@@ -6,6 +6,7 @@ with any trigger; `availableNow` drains what has landed and stops.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,10 +33,11 @@ def unique_events(stream: DataFrame, key: str, horizon: str = "1 day") -> DataFr
     return arrived.dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
-def _append_once(log_path: str, schema: StructType, key: str) -> Callable[[DataFrame, int], None]:
+def _append_once(log_path: str, schema: StructType, key: str, writer: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        # repeats beyond the horizon, and a replayed batch, are caught against the log itself
-        T.append_event(batch.sparkSession, log_path, batch.select(*schema.names), schema, key)
+        # a replayed batch finds its commit record and reads nothing; repeats beyond the horizon are caught
+        # against the buckets of the log that the batch touches
+        T.append_event(batch.sparkSession, log_path, batch.select(*schema.names), schema, key, batch=f"{writer}-{batch_id}")
 
     return write
 
@@ -47,7 +49,7 @@ def stream_events(
     """Continuous append of edits to the log."""
     return (
         unique_events(stream, key, horizon)
-        .writeStream.foreachBatch(_append_once(log_path, schema, key))
+        .writeStream.foreachBatch(_append_once(log_path, schema, key, hashlib.sha1(checkpoint.encode()).hexdigest()[:16]))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -183,3 +183,28 @@ def test_newest_complete_pull_owns_each_day(spark):
     got = sorted((r.day.isoformat(), r.pull_id) for r in owned_days(done, versions).collect())
     # day 4 stays with the newer pull 9 of an earlier batch; pull 3 is older than pull 2 on days 2 and 3
     assert got == [("2024-01-01", 2), ("2024-01-02", 2), ("2024-01-03", 2)]
+
+
+def test_append_reads_only_the_buckets_of_its_batch(spark):
+    log = work_dir(spark, "log")
+    many = [(f"id{i}", i, 1) for i in range(400)]
+    T.append_event(spark, log, events(spark, *many), EVENTS)
+    batch = events(spark, ("id7", 7, 1), ("new", 1, 2))
+    buckets = sorted({r[0] for r in batch.select(T.log_bucket("event_id")).collect()})
+    read = T.log_slice(spark, log, EVENTS, "event_id", buckets).inputFiles()
+    assert read and all(any(f"/bucket={b}/" in f for b in buckets) for f in read)
+    every = spark.read.parquet(log).inputFiles()
+    assert len(read) < len(every)
+    T.append_event(spark, log, batch, EVENTS)
+    assert T.read_log(spark, log, EVENTS).count() == 401
+
+
+def test_replayed_batch_reads_nothing_and_repeats_follow_the_order(spark):
+    log = work_dir(spark, "log")
+    T.append_event(spark, log, events(spark, ("a", 1, 1), ("a", 5, 2)), EVENTS, order=[F.desc("changed_at")], batch="w-0")
+    assert [(r.event_id, int(r.amount)) for r in T.read_log(spark, log, EVENTS).collect()] == [("a", 5)]
+    # the replay of a committed batch is skipped before anything is read
+    T.append_event(spark, log, events(spark, ("b", 1, 1)), EVENTS, batch="w-0")
+    assert T.read_log(spark, log, EVENTS).count() == 1
+    with pytest.raises(Exception, match="several staged rows"):
+        T.append_event(spark, log, events(spark, ("c", 1, 1), ("c", 2, 1)), EVENTS)

@@ -217,27 +217,59 @@ def merge_upsert(
         _write_partitions(out, path, partition, [k for k in keys if k != partition])
 
 
+#: Hash buckets of the key index kept beside a table that `upsert_by_id` maintains.
+INDEX_BUCKETS = 64
+INDEX = "_index"
+
+
+def key_bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def index_slice(
+    spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], partition: str, buckets: Sequence[int],
+) -> DataFrame:
+    """(keys, partition) of the index in the given buckets; only their files are listed and read.
+
+    A table that has partitions but no index yet gets one, once, from a full scan."""
+    fields = StructType([schema[k] for k in keys] + [schema[partition]])
+    base = f"{path}/{INDEX}"
+    if not exists(spark, base) and any(c.startswith(f"{partition}=") for c in children(spark, path)):
+        full = read_partitioned(spark, path, schema).select(*keys, partition).withColumn("bucket", key_bucket(keys))
+        full.write.mode("overwrite").partitionBy("bucket").parquet(base)
+    found = [f"{base}/bucket={b}" for b in sorted(buckets) if exists(spark, f"{base}/bucket={b}")]
+    return spark.read.schema(fields).parquet(*found) if found else spark.createDataFrame([], fields)
+
+
 def upsert_by_id(
     spark: SparkSession, path: str, staged: DataFrame, schema: StructType, keys: Sequence[str], partition: str,
     now: Column, newest: Sequence[Column] | None = None,
 ) -> None:
     """Upsert where a row may move to another partition (its date was corrected).
 
-    The staged keys locate the partitions that hold old versions; those and the new ones are
-    rewritten, everything else stays untouched.
+    A key index in hash buckets, kept beside the table, tells which partitions hold old versions: only the
+    buckets of the staged keys are read, never the table as a whole. Those partitions and the new ones are
+    rewritten, then the touched buckets of the index. A crash between the two leaves old locations in the
+    index; replaying the batch reads both old and new partitions and repairs it.
     """
     with _Work(spark, "upsert") as job:
-        work = job.write(staged)
-        table = read_partitioned(spark, path, schema)
-        old_parts = table.join(work.select(*keys).distinct(), list(keys), "left_semi").select(partition)
+        work = job.write(staged.withColumn("_bucket", key_bucket(keys)))
+        buckets = [r[0] for r in work.select("_bucket").distinct().collect()]  # at most INDEX_BUCKETS
+        slice_ = job.write(index_slice(spark, path, schema, keys, partition, buckets))
+        old_parts = slice_.join(work.select(*keys).distinct(), list(keys), "left_semi").select(partition)
         touched = job.write(old_parts.union(work.select(partition)).distinct())
-        target = _touched(table, partition, touched).select(*schema.names)
-        out = job.write(merged(target, work, keys, now, None, newest))
+        days = [r[0] for r in touched.collect()]  # one row per touched calendar day
+        target = read_partitioned(spark, path, schema).filter(F.col(partition).isin(days) if days else F.lit(False))
+        out = job.write(merged(target.select(*schema.names), work.drop("_bucket"), keys, now, None, newest))
         _write_partitions(out, path, partition, list(keys))
         left = {str(r[0]) for r in out.select(partition).distinct().collect()}
-        for (value,) in touched.collect():  # one row per touched calendar day
+        for value in days:
             if str(value) not in left:
                 _drop_partition(spark, path, partition, str(value))
+        kept = slice_.filter(~F.col(partition).isin(days) if days else F.lit(True))
+        moved = out.select(*keys, partition).filter(key_bucket(keys).isin(buckets))
+        (kept.unionByName(moved).withColumn("bucket", key_bucket(keys)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{INDEX}"))
 
 
 def accumulate_snapshot(

@@ -208,3 +208,21 @@ def test_replayed_batch_reads_nothing_and_repeats_follow_the_order(spark):
     assert T.read_log(spark, log, EVENTS).count() == 1
     with pytest.raises(Exception, match="several staged rows"):
         T.append_event(spark, log, events(spark, ("c", 1, 1), ("c", 2, 1)), EVENTS)
+
+
+def test_upsert_index_follows_moves_and_reads_only_touched_buckets(spark):
+    schema = StructType.fromDDL("id string, day date, v int")
+    path = work_dir(spark, "moves")
+    T.ensure_table(spark, path, schema, "day")
+    rows = spark.createDataFrame([(f"k{i}", date(2024, 1, 1 + i % 5), i) for i in range(300)], schema)
+    T.upsert_by_id(spark, path, rows, schema, ["id"], "day", now())
+    for moved_to in (date(2024, 2, 1), date(2024, 2, 2)):  # one key moves twice
+        T.upsert_by_id(spark, path, spark.createDataFrame([("k7", moved_to, 70)], schema), schema, ["id"], "day", now())
+    table = T.read_partitioned(spark, path, schema)
+    assert table.count() == 300
+    assert [(r.day, r.v) for r in table.where("id = 'k7'").collect()] == [(date(2024, 2, 2), 70)]
+    index = spark.read.parquet(f"{path}/{T.INDEX}").select("id", "day")
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, table.select("id", "day").collect()))
+    bucket = spark.createDataFrame([("k7",)], "id string").select(T.key_bucket(["id"])).first()[0]
+    read = T.index_slice(spark, path, schema, ["id"], "day", [bucket]).inputFiles()
+    assert read and all(f"/bucket={bucket}/" in f for f in read)

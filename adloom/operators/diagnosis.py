@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adloom.functions import scalars as S
 from adloom.functions.keyed import top_per_key
 
 MEDIAN_ACCURACY = 10_000
+#: Rows of a bracket that are ranked directly; larger brackets are narrowed by another sketch first.
+MEDIAN_BRACKET_ROWS = 1_000_000
+MEDIAN_STEPS = [i / 256 for i in range(257)]
 ACCOUNT_TYPE = ["account_id", "campaign_type"]
 
 
@@ -59,15 +62,74 @@ def rates() -> list[Column]:
     ]
 
 
-def portfolio_medians(base: DataFrame) -> DataFrame:
-    """Median CTR and CVR per campaign type, never blended over types.
+def exact_lower_median(base: DataFrame, key: str, col: str) -> DataFrame:
+    """key, the lower median of col (the ceil(n/2)-th smallest non-null value), exactly, by distributed selection.
 
-    The sketch keeps memory constant and is exact up to its accuracy in rows.
+    A quantile sketch brackets the target rank; one pass counts the rows below and inside the bracket. Only the
+    rows inside it are ranked, and while a bracket still holds over MEDIAN_BRACKET_ROWS rows it is narrowed again
+    by a new sketch of its own rows. A bracket that misses the rank (beyond the sketch's error bound) falls back
+    to the whole range of its key, so the result is exact in every case. The per-key tables hold one row per
+    key and are broadcast: keys are a fixed vocabulary (campaign types), so few keys cannot all land in few tasks.
     """
-    def median(col: str) -> Column:
-        return F.percentile_approx(col, 0.5, MEDIAN_ACCURACY)
+    vals = base.select(F.col(key).alias("_k"), F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    bounds = vals.groupBy("_k").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+    ).select("_k", F.ceil(F.col("_n") / 2).cast("long").alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
+             "_n")
+    spark = base.sparkSession
+    bounds = spark.createDataFrame(bounds.collect(), bounds.schema)  # one row per key
+
+    def per_key(rows: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
+        """rows with the key's columns of a one-row-per-key table; a null key is a key like any other."""
+        small = F.broadcast(table.select(F.col("_k").alias("_tk"), *cols))
+        return rows.join(small, F.col("_k").eqNullSafe(F.col("_tk"))).drop("_tk")
+
+    while True:
+        inside = per_key(vals, bounds, "_lo", "_hi").where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        largest = bounds.agg(F.max("_n")).first()[0]
+        if largest is None or largest <= MEDIAN_BRACKET_ROWS:
+            break
+        # the target's rank among the bracket's rows, bracketed again by a sketch of those rows
+        local = bounds.select("_k", (F.col("_rank") - F.col("_below")).alias("_r"), "_n")
+        sketch = inside.groupBy("_k").agg(F.percentile_approx("_x", F.array(*[F.lit(q) for q in MEDIAN_STEPS]), MEDIAN_ACCURACY).alias("_q"))
+        grid = len(MEDIAN_STEPS) - 1
+        share = F.col("_r") / F.col("_n")
+
+        def at(index: Column) -> Column:  # grid point, clamped to the grid, 1-based for element_at
+            return F.element_at("_q", F.greatest(F.lit(0), F.least(F.lit(grid), index)).cast("int") + 1)
+
+        guess = per_key(local, sketch, "_q").select(
+            "_k", at(F.floor(share * grid) - 1).alias("_nlo"), at(F.ceil(share * grid) + 1).alias("_nhi"))
+        tally = per_key(inside.drop("_lo", "_hi"), guess, "_nlo", "_nhi").groupBy("_k").agg(
+            F.count(F.when(F.col("_x") < F.col("_nlo"), 1)).alias("_lt"),
+            F.count(F.when(F.col("_x").between(F.col("_nlo"), F.col("_nhi")), 1)).alias("_in"),
+            F.first("_nlo").alias("_nlo"), F.first("_nhi").alias("_nhi"))
+        step = per_key(bounds, tally, "_lt", "_in", "_nlo", "_nhi")
+        hit = (F.col("_below") + F.col("_lt") < F.col("_rank")) & (F.col("_rank") <= F.col("_below") + F.col("_lt") + F.col("_in"))
+        narrowed = step.select(
+            "_k", "_rank",
+            F.when(hit, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
+            F.when(hit, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
+            F.when(hit, F.col("_below") + F.col("_lt")).otherwise(F.col("_below")).alias("_below"),
+            F.when(hit, F.col("_in")).otherwise(F.col("_n")).alias("_n"))
+        rows = narrowed.collect()  # one row per key
+        if all(r["_n"] == o["_n"] for r, o in zip(sorted(rows, key=lambda r: str(r["_k"])),
+                                                    sorted(bounds.collect(), key=lambda r: str(r["_k"])))):
+            break  # no bracket got smaller: rank what is left exactly
+        bounds = spark.createDataFrame(rows, narrowed.schema)
+    order = Window.partitionBy("_k").orderBy("_x")
+    ranked = per_key(inside.drop("_lo", "_hi"), bounds, "_below", "_rank").withColumn(
+        "_pos", F.col("_below") + F.row_number().over(order))
+    return ranked.where(F.col("_pos") == F.col("_rank")).select(F.col("_k").alias(key), F.col("_x").alias(col))
+
 
-    return base.groupBy("campaign_type").agg(median("ctr").alias("median_ctr"), median("cvr").alias("median_cvr"))
+def portfolio_medians(base: DataFrame) -> DataFrame:
+    """Median CTR and CVR per campaign type, never blended over types; exact at every size (lower median)."""
+    ctr = exact_lower_median(base, "campaign_type", "ctr").withColumnRenamed("ctr", "median_ctr")
+    cvr = exact_lower_median(base, "campaign_type", "cvr").withColumnRenamed("cvr", "median_cvr")
+    types = base.select("campaign_type").distinct()
+    on = lambda t, m: t.join(m.withColumnRenamed("campaign_type", "_t"), F.col("campaign_type").eqNullSafe(F.col("_t")), "left").drop("_t")
+    return on(on(types, ctr), cvr)
 
 
 def vs_portfolio(base: DataFrame, medians: DataFrame) -> DataFrame:

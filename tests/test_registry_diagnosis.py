@@ -143,3 +143,20 @@ def test_quality(spark, rows):
     assert tuple(Q.fanout_check(pre, pre.join(m, "k"), m, "k", "v").first()) == (2, 3, 1)
     s = spark.createDataFrame([("a", date(2024, 1, 5)), ("a", date(2024, 3, 5))], "k string, d date")
     assert rows(Q.data_gap(s, ["k"], "d", "2024-01-01", "2024-04-01")) == [("a", date(2024, 2, 1)), ("a", date(2024, 4, 1))]
+
+
+def test_exact_medians_on_many_distinct_rates(spark, monkeypatch):
+    import math
+    import random
+
+    from adloom.operators import diagnosis as D
+    monkeypatch.setattr(D, "MEDIAN_BRACKET_ROWS", 1000)  # force the narrowing steps
+    rng = random.Random(1)
+    rows = [(rng.choice(["brand", "service", None]), rng.random() if rng.random() > 0.01 else None, float(rng.randint(0, 50)))
+            for _ in range(150_000)]
+    got = {r.campaign_type: (r.median_ctr, r.median_cvr)
+           for r in D.portfolio_medians(spark.createDataFrame(rows, "campaign_type string, ctr double, cvr double")).collect()}
+    for t in ("brand", "service", None):
+        for i in (0, 1):
+            v = sorted(x[1 + i] for x in rows if x[0] == t and x[1 + i] is not None)
+            assert got[t][i] == v[math.ceil(len(v) / 2) - 1]

@@ -11,6 +11,8 @@ from adloom.operators.spend import SERVED_ELSEWHERE, actual_spend_mtd, conversio
 from adloom.plans.catalog import query
 from adloom.plans.frames import Frames
 from adloom.plans.oracle import AS_OF, NOW, day, sql, stamp
+from adloom.session import work_dir
+from adloom.sources.tables import newest_partition
 
 _ALERT = f"SELECT * REPLACE ({stamp('detected_at')} AS detected_at) FROM "
 
@@ -62,6 +64,17 @@ def _(f: Frames) -> DataFrame:
         F.count(F.lit(1)).alias("campaigns"))
 
 
+@query("latest_snapshot_history", "FLT-07", sql("ad_policy", """
+  SELECT approval_status, policy_topics, count(*) AS ads FROM ad_policy
+  WHERE snapshot_date = (SELECT max(snapshot_date) FROM ad_policy) GROUP BY 1, 2"""))
+def _(f: Frames) -> DataFrame:
+    """The loader keeps a history partitioned by snapshot day; the newest day is found from its folders."""
+    path = work_dir(f.spark, "policy-history")
+    f.ad_policy.write.partitionBy("snapshot_date").parquet(path)
+    newest = newest_partition(f.spark, path, "snapshot_date")
+    return newest.groupBy("approval_status", "policy_topics").agg(F.count(F.lit(1)).alias("ads"))
+
+
 @query("latest_snapshot_rows", "FLT-07", sql("ad_policy", """
   SELECT approval_status, policy_topics, count(*) AS ads FROM ad_policy
   WHERE snapshot_date = (SELECT max(snapshot_date) FROM ad_policy) GROUP BY 1, 2"""))

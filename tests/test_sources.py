@@ -88,3 +88,17 @@ def test_sheet_export(spark, tmp_path):
     (tmp_path / "s.csv").write_text("client,channel,year,month,amount\nc,meta,2024, 3,10.5\nc,meta,soon,3,1\n")
     raw = sheets.read_sheet(spark, str(tmp_path / "s.csv"), "client string, channel string, year string, month string, amount string")
     assert [(r.year, r.month, float(r.amount)) for r in sheets.read_committed_sheet(raw).collect()] == [(2024, 3, 10.5)]
+
+
+def test_newest_partition_from_folder_names(spark, tmp_path):
+    from datetime import date
+
+    from adloom.sources.tables import newest_partition
+    path = str(tmp_path / "history")
+    rows = [(date(2024, 1, d), f"ad{d}") for d in (1, 2, 3)] + [(None, "no day")]
+    spark.createDataFrame(rows, "snapshot_date date, ad string").write.partitionBy("snapshot_date").parquet(path)
+    newest = newest_partition(spark, path, "snapshot_date")
+    assert [(r.snapshot_date, r.ad) for r in newest.collect()] == [(date(2024, 1, 3), "ad3")]
+    assert all("snapshot_date=2024-01-03" in f for f in newest.inputFiles())
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan

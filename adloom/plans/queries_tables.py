@@ -35,6 +35,35 @@ def _(f: Frames) -> DataFrame:
     return L.read_campaign_spend_landed(f.insights, f.social_accounts)
 
 
+@query("landed_spend_counts", "SRC-02 Q-03", sql("line_spend", """
+  WITH l AS (SELECT s.*, sup.s_acctbal FROM line_spend s LEFT JOIN supplier sup ON CAST(sup.s_suppkey AS VARCHAR) = s.customer_id
+             WHERE channel = 'meta')
+  SELECT count(*) FILTER (WHERE conversions = 1) AS unreadable,
+    count(*) FILTER (WHERE conversions <> 1 AND NOT coalesce(s_acctbal > 0, false)) AS unmatched,
+    count(*) FILTER (WHERE conversions <> 1 AND s_acctbal > 0) AS kept,
+    CAST(sum(CASE WHEN conversions <> 1 AND s_acctbal > 0 THEN
+      CASE WHEN conversions > 3 THEN CAST(spend AS DECIMAL(12,2)) ELSE 0 END END) AS DOUBLE) AS kept_cost
+  FROM l"""))
+def _(f: Frames) -> DataFrame:
+    """Landed lines, those of single-conversion rows cut short in transit, to typed rows written to a table;
+    the counts come from the same pass."""
+    spark = f.spark
+    line = F.to_json(F.struct(
+        F.col("customer_id").alias("account_id"),
+        F.concat(F.lit("Campaign "), F.col("campaign_id").cast("string")).alias("campaign_name"),
+        F.col("date").cast("string").alias("date_start"),
+        F.when(F.col("conversions") > 3, F.col("spend").cast("decimal(12,2)").cast("string")).alias("spend")))
+    cut = F.when(F.col("conversions") == 1, F.expr("substring(value, 1, length(value) div 2)")).otherwise(F.col("value"))
+    landing = work_dir(spark, "landed-json")
+    f.line_spend.filter("channel = 'meta'").select(line.alias("value"), "conversions").select(cut.alias("value")).write.text(landing)
+    rows, seen = L.land_campaign_spend(spark, landing, f.social_accounts)
+    rows.write.parquet(work_dir(spark, "landed-rows"))
+    counts = seen.get
+    return spark.createDataFrame([(counts["unreadable"], counts["unmatched"], counts["kept"],
+                                   float(counts["kept_cost"] or 0))],
+                                 "unreadable long, unmatched long, kept long, kept_cost double")
+
+
 @query("active_social_accounts", "SRC-03", "SELECT CAST(s_suppkey AS VARCHAR) AS account_id, s_name AS name FROM supplier WHERE s_acctbal > 0")
 def _(f: Frames) -> DataFrame:
     return L.filter_active_accounts(f.social_accounts).select("account_id", "name")

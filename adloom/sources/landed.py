@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from adloom.functions import scalars as S
@@ -55,6 +55,35 @@ def read_campaign_spend_landed(insights: DataFrame, accounts: DataFrame, channel
     )
 
 
+def land_campaign_spend(
+    spark: SparkSession, path: str, accounts: DataFrame, channel: str = SOCIAL_CHANNEL, name: str = "landed_spend",
+) -> tuple[DataFrame, Observation]:
+    """Landed JSON lines to typed campaign-day rows in one pass, with the pass's own counts.
+
+    The observation reports `unreadable` (lines that are not a record of the schema), `unmatched` (readable
+    records of no active account) and `kept` lines, and the `kept_cost`; none of them is read again to count.
+    The counts are there once the returned rows have been written or otherwise computed whole; a task retried
+    after a lost executor is counted once.
+    """
+    raw = read_landed_json(spark, path, INSIGHT_SCHEMA)
+    active = filter_active_accounts(accounts).select("account_id", F.col("name").alias("account_name"))
+    bad = F.col("_corrupt_record").isNotNull()
+    joined = raw.join(active, "account_id", "left")
+    cost = F.coalesce(F.col("spend").cast(S.MONEY), F.lit(0).cast(S.MONEY))
+    seen = Observation(name)
+    observed = joined.observe(
+        seen,
+        F.count(F.when(bad, 1)).alias("unreadable"),
+        F.count(F.when(~bad & F.col("account_name").isNull(), 1)).alias("unmatched"),
+        F.count(F.when(~bad & F.col("account_name").isNotNull(), 1)).alias("kept"),
+        F.sum(F.when(~bad & F.col("account_name").isNotNull(), cost)).alias("kept_cost"),
+    )
+    rows = observed.where(~bad & F.col("account_name").isNotNull()).select(
+        "account_name", F.col("account_id").alias("customer_id"), F.col("campaign_name").alias("campaign"),
+        F.to_date("date_start").alias("date"), cost.alias("cost"), F.lit(channel).alias("channel"))
+    return rows, seen
+
+
 # ---- local advertisers ------------------------------------------------------------------------
 def filter_advertiser_access(advertisers: DataFrame, override_ids: Sequence[str] | None = None) -> DataFrame:
     """An explicit id list wins over the role filter."""

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pyspark.sql.types import ArrayType, DataType, StructType
+
 from adloom.functions import scalars as S
 
 # ---- fixed values: funnel stages in order ----------------------------------------------
@@ -37,6 +39,29 @@ def near(op: Column, value: Column, low: Column, pct: Column) -> Column:
     return F.coalesce(op.isin("gt", "gte", "lt", "lte") & (distance <= pct), F.lit(False))
 
 
+#: Largest rule registry (rules and their conditions) that is carried to every account row.
+MAX_REGISTRY_ROWS = 100_000
+
+
+def _literal(value, kind: DataType) -> Column:
+    """A typed literal of nested rows and arrays."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind) if value else F.array().cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def _all_any(flags: Column) -> tuple[Column, Column]:
+    """bool_and and bool_or of an array, ignoring nulls; null when every element is null."""
+    known = F.filter(flags, lambda x: x.isNotNull())
+    empty = F.size(known) == 0
+    return (F.when(empty, F.lit(None)).otherwise(F.forall(known, lambda x: x)),
+            F.when(empty, F.lit(None)).otherwise(F.exists(known, lambda x: x)))
+
+
 def evaluate_rules(
     metrics: DataFrame, rules: DataFrame, conditions: DataFrame, overrides: DataFrame | None = None
 ) -> DataFrame:
@@ -47,47 +72,62 @@ def evaluate_rules(
     conditions: rule_id, metric, operator, threshold, threshold_high
     overrides: account_id, rule_id, metric, threshold - replace a threshold for one account
 
-    A floor that is not met, or a missing metric, means cant_assess. Rules and conditions are a registry
-    kept by hand, of a size that does not follow the accounts. Conditions describe failure;
-    a rule that does not fail but is close on every (match all) or any condition warns. The joins
-    run on rule and metric names, so their output is accounts x applicable rules by design.
+    A floor that is not met, a missing metric, or a rule without conditions means cant_assess. Conditions
+    describe failure; a rule that does not fail but is close on every (match all) or any condition warns.
+
+    Each account becomes one row with a map of its metrics (and one of its overrides); the registry, a table
+    kept by hand whose size does not follow the accounts, is checked against MAX_REGISTRY_ROWS and carried as
+    one literal array of rules with their conditions. Higher-order functions evaluate every rule against the
+    maps, so the only rows made are the verdicts, one per account and rule; none per account and condition.
     """
-    # every account meets every rule, whether it has the rule's metrics or not; the key of the metric
-    # join has the account in it, so no metric name gathers all accounts in one task
-    asked = conditions.join(rules, "rule_id")
-    accounts = metrics.select(*KEYS).distinct()
-    registry = asked.agg(F.collect_list(F.struct(*asked.columns))).scalar()
-    checks = accounts.select(*KEYS, registry.alias("_asked")).select(*KEYS, F.inline("_asked"))
-    checks = checks.join(metrics, [*KEYS, "metric"], "left")
+    spark = metrics.sparkSession
+    n_registry = rules.count() + conditions.count()
+    if n_registry > MAX_REGISTRY_ROWS:
+        raise ValueError(f"rule registry of {n_registry} rows is over MAX_REGISTRY_ROWS={MAX_REGISTRY_ROWS}")
+    cond_fields = ["metric", "operator", "threshold", "threshold_high"]
+    per_rule = rules.join(conditions.select("rule_id", F.struct(*cond_fields).alias("_c")), "rule_id", "left").groupBy(
+        "rule_id", "stage", "match", "warn_pct", "floor_metric", "floor_value"
+    ).agg(F.filter(F.collect_list("_c"), lambda c: c.isNotNull()).alias("conditions"))
+    registry = per_rule.collect()  # bounded by the check above
+    typed = per_rule.schema
+    literal = F.array(*[_literal(r, StructType(typed.fields)) for r in registry])
+
+    accounts = metrics.groupBy(*KEYS).agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("double")))).alias("_m"))
     if overrides is not None:
-        special = overrides.select("account_id", "rule_id", "metric", F.col("threshold").alias("_own"))
-        checks = checks.join(special, ["account_id", "rule_id", "metric"], "left").withColumn(
-            "threshold", F.coalesce("_own", "threshold")
-        )
-    op, value, low = F.col("operator"), F.col("value"), F.col("threshold")
-    checks = checks.withColumn("_fail", holds(op, value, low, F.col("threshold_high"))).withColumn(
-        "_near", F.coalesce(F.col("_fail"), F.lit(False)) | near(op, value, low, F.col("warn_pct"))
-    )
-    all_of = F.col("match") == "all"
-    per_rule = checks.groupBy(*KEYS, "rule_id", "stage", "match", "floor_metric", "floor_value").agg(
-        F.bool_or(F.col("value").isNull()).alias("_missing"),
-        F.bool_and("_fail").alias("_all_fail"),
-        F.bool_or("_fail").alias("_any_fail"),
-        F.bool_and("_near").alias("_all_near"),
-        F.bool_or("_near").alias("_any_near"),
-    )
-    floors = metrics.select(*KEYS, F.col("metric").alias("floor_metric"), F.col("value").alias("_floor"))
-    joined = per_rule.join(floors, [*KEYS, "floor_metric"], "left")
-    thin = F.col("floor_metric").isNotNull() & (F.coalesce("_floor", F.lit(0.0)) < F.col("floor_value"))
-    fails = F.when(all_of, F.col("_all_fail")).otherwise(F.col("_any_fail"))
-    close = F.when(all_of, F.col("_all_near")).otherwise(F.col("_any_near"))
-    verdict = (
-        F.when(thin | F.col("_missing"), F.lit("cant_assess"))
-        .when(fails, F.lit("fail"))
-        .when(close, F.lit("warn"))
-        .otherwise(F.lit("pass"))
-    )
-    return joined.select(*KEYS, "rule_id", "stage", verdict.alias("verdict"))
+        own = overrides.groupBy("account_id").agg(F.map_from_entries(F.collect_list(F.struct(
+            F.concat_ws("\u0000", F.col("rule_id").cast("string"), F.col("metric")), F.col("threshold").cast("double")))).alias("_own"))
+        accounts = accounts.join(own, "account_id", "left")
+    else:
+        accounts = accounts.withColumn("_own", F.lit(None).cast("map<string,double>"))
+
+    def verdict(r: Column) -> Column:
+        def check(c: Column) -> Column:
+            value = F.element_at(F.col("_m"), c["metric"])
+            key = F.concat_ws("\u0000", r["rule_id"].cast("string"), c["metric"])
+            low = F.coalesce(F.element_at(F.col("_own"), key), c["threshold"])
+            fail = holds(c["operator"], value, low, c["threshold_high"])
+            close = F.coalesce(fail, F.lit(False)) | near(c["operator"], value, low, r["warn_pct"])
+            return F.struct(value.isNull().alias("missing"), fail.alias("fail"), close.alias("near"))
+
+        checked = F.transform(r["conditions"], check)
+        all_fail, any_fail = _all_any(F.transform(checked, lambda x: x["fail"]))
+        all_near, any_near = _all_any(F.transform(checked, lambda x: x["near"]))
+        missing = F.exists(checked, lambda x: x["missing"]) | (F.size(r["conditions"]) == 0)
+        floor = F.element_at(F.col("_m"), r["floor_metric"])
+        thin = r["floor_metric"].isNotNull() & (F.coalesce(floor, F.lit(0.0)) < r["floor_value"])
+        all_of = r["match"] == "all"
+        fails = F.when(all_of, all_fail).otherwise(any_fail)
+        close = F.when(all_of, all_near).otherwise(any_near)
+        word = (F.when(thin | missing, F.lit("cant_assess")).when(fails, F.lit("fail")).when(close, F.lit("warn"))
+                .otherwise(F.lit("pass")))
+        return F.struct(r["rule_id"].alias("rule_id"), r["stage"].alias("stage"), word.alias("verdict"))
+
+    if not registry:
+        return spark.createDataFrame([], f"account_id string, campaign_type string, rule_id {typed['rule_id'].dataType.simpleString()}, "
+                                         f"stage string, verdict string")
+    out = accounts.select(*KEYS, F.inline(F.transform(literal, verdict)))
+    return out.select(*KEYS, "rule_id", "stage", "verdict")
 
 
 def trust_void(verdicts: DataFrame, stage: str = "eligible", voided: Sequence[str] = VOIDED_BY_TRACKING) -> DataFrame:

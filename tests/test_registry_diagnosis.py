@@ -160,3 +160,18 @@ def test_exact_medians_on_many_distinct_rates(spark, monkeypatch):
         for i in (0, 1):
             v = sorted(x[1 + i] for x in rows if x[0] == t and x[1 + i] is not None)
             assert got[t][i] == v[math.ceil(len(v) / 2) - 1]
+
+
+def test_rule_without_conditions_is_cant_assess_and_no_row_per_condition(spark):
+    from adloom.operators import verdicts as V
+    metrics = spark.createDataFrame([("a", "brand", "ctr", 0.01), ("b", "brand", "cvr", 0.5), (None, "brand", "ctr", 0.2)],
+                                    "account_id string, campaign_type string, metric string, value double")
+    rules = spark.createDataFrame([(1, "visible", "all", 0.1, None, None), (2, "relevant", "any", 0.1, None, None)],
+                                  "rule_id int, stage string, match string, warn_pct double, floor_metric string, floor_value double")
+    conds = spark.createDataFrame([(1, "ctr", "lt", 0.05, None)], "rule_id int, metric string, operator string, threshold double, threshold_high double")
+    out = V.evaluate_rules(metrics, rules, conds)
+    got = {(r.account_id, r.rule_id): r.verdict for r in out.collect()}
+    assert got == {("a", 1): "fail", ("a", 2): "cant_assess", ("b", 1): "cant_assess", ("b", 2): "cant_assess",
+                   (None, 1): "pass", (None, 2): "cant_assess"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1  # rules only; conditions are evaluated inside the row

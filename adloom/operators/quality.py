@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adloom.functions import labels as L
 
@@ -61,9 +61,30 @@ def required_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(columns), "column_name", "violations")
 
 
-def data_gap(df: DataFrame, keys: Sequence[str], date_col: str, first: str, last: str) -> DataFrame:
-    """Months without any row per key: the calendar is generated per key, not cross-joined."""
-    months = F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr("interval 1 month")))
-    have = df.select(*keys, F.trunc(date_col, "MM").alias("month")).distinct()
-    return df.select(*keys).distinct().withColumn("month", months).join(have, [*keys, "month"], "left_anti")
-
+def data_gap(df: DataFrame, keys: Sequence[str], date_col: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Months without any row per key, from `first` to `last` (default: the first and last month of all data).
+
+    Gaps and islands: the distinct months of each key are ordered, and each month emits the run of missing
+    months before it (from the month after its predecessor, or from `first`); the last month of a key emits
+    the run up to `last`. Rows made follow the gaps found, never keys x calendar; a key is never empty.
+    """
+    month = F.trunc(date_col, "MM")
+    have = df.select(*keys, month.alias("month")).where(F.col("month").isNotNull()).distinct()
+    if first is None or last is None:
+        span = have.agg(F.min("month"), F.max("month")).first()
+        if span[0] is None:
+            return have.limit(0)
+        first, last = first or str(span[0]), last or str(span[1])
+    lo, hi = F.to_date(F.lit(first)), F.to_date(F.lit(last))
+    w = Window.partitionBy(*keys).orderBy("month")
+    have = have.where(F.col("month").between(lo, hi))
+    before_from = F.coalesce(F.add_months(F.lag("month").over(w), 1), lo)
+    step = F.expr("interval 1 month")
+
+    def run(start: Column, stop: Column) -> Column:
+        return F.when(start <= stop, F.sequence(start, stop, step)).otherwise(F.array().cast("array<date>"))
+
+    runs = have.select(
+        *keys, run(before_from, F.add_months("month", -1)).alias("_before"),
+        F.when(F.lead("month").over(w).isNull(), run(F.add_months("month", 1), hi)).otherwise(F.array().cast("array<date>")).alias("_after"))
+    return runs.select(*keys, F.explode(F.concat("_before", "_after")).alias("month"))

@@ -349,9 +349,10 @@ def _(f: Frames) -> DataFrame:
 
 @query("data_gaps", "Q-07", sql("spend_combined", """
   WITH k AS (SELECT DISTINCT customer_id, platform FROM spend_combined),
-  m AS (SELECT unnest(generate_series(DATE '2023-01-01', DATE '2024-01-01', INTERVAL 1 MONTH)) AS month),
+  r AS (SELECT min(date_trunc('month', spend_date)) AS lo, max(date_trunc('month', spend_date)) AS hi FROM spend_combined),
+  m AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS month FROM r),
   h AS (SELECT DISTINCT customer_id, platform, date_trunc('month', spend_date) AS month FROM spend_combined)
   SELECT k.customer_id, k.platform, strftime(m.month, '%Y-%m-%d') AS month FROM k, m
   WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.customer_id = k.customer_id AND h.platform = k.platform AND h.month = m.month)"""))
 def _(f: Frames) -> DataFrame:
-    return Q.data_gap(f.spend_combined, ["customer_id", "platform"], "spend_date", "2023-01-01", "2024-01-01")
+    return Q.data_gap(f.spend_combined, ["customer_id", "platform"], "spend_date")

@@ -582,13 +582,13 @@ class Frames:
     @cached_property
     def boards(self) -> DataFrame:
         return self.spark.createDataFrame(
-            [(r, f"Board {r}", f"client_{r}", f"status_{r}", f"https://tickets.example.com/{r}/") for r in ("user", "assistant")],
+            [(r, f"Board {r}", f"client_{r}", f"status_{r}", f"https://tickets.example.com/{r}/") for r in ("user", "assistant", "system")],
             "board_id string, board_name string, client_col string, status_col string, url_prefix string",
         )
 
     @cached_property
     def done_statuses(self) -> DataFrame:
-        return self.spark.createDataFrame([("user", "4"), ("assistant", "1"), ("assistant", "5")],
+        return self.spark.createDataFrame([("user", "4"), ("assistant", "1"), ("assistant", "5"), ("system", "0")],
                                           "board_id string, status_index string")
 
     @cached_property

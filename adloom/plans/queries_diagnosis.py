@@ -153,11 +153,11 @@ def _(f: Frames) -> DataFrame:
 
 
 @query("budget_capped", "OP-43", sql("line_spend", f"""
-  WITH s AS (SELECT campaign_id, date, CAST(sum(spend) AS DOUBLE) AS spend FROM line_spend WHERE date >= {AS_OF} - 90 GROUP BY 1, 2)
+  WITH s AS (SELECT campaign_id, date, CAST(sum(spend) AS DOUBLE) AS spend FROM line_spend GROUP BY 1, 2)
   SELECT campaign_id, {day('date')} AS date, spend, p_retailprice * 30 AS daily_budget, spend / nullif(p_retailprice * 30, 0) AS used
   FROM s JOIN part ON p_partkey = campaign_id WHERE spend / nullif(p_retailprice * 30, 0) >= 0.95"""))
 def _(f: Frames) -> DataFrame:
-    spend = f.line_spend.filter(S.since(F.col("date"), f.as_of, 90)).groupBy("campaign_id", "date").agg(
+    spend = f.line_spend.groupBy("campaign_id", "date").agg(
         F.sum("spend").cast("double").alias("spend"))
     budgets = f.table("part").select(F.col("p_partkey").alias("campaign_id"), (F.col("p_retailprice") * 30).alias("daily_budget"))
     return D.budget_capped(spend, budgets)

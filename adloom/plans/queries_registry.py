@@ -208,15 +208,15 @@ def _(f: Frames) -> DataFrame:
 # ---- tickets --------------------------------------------------------------------------------
 @query("ticket_board", "OP-30 SET-05", sql("", """
   WITH t AS (SELECT conv_id, turn, role AS board_id, CAST(unnest(list_distinct([conv_id % 50, conv_id % 7])) AS VARCHAR) AS client_id
-    FROM conversations WHERE role IN ('user', 'assistant') AND turn % 4 <> 3
-      AND NOT (role = 'user' AND turn = 4) AND NOT (role = 'assistant' AND turn IN (1, 5)))
+    FROM conversations WHERE role IN ('user', 'assistant', 'system') AND turn % 4 <> 3
+      AND NOT (role = 'user' AND turn = 4) AND NOT (role = 'assistant' AND turn IN (1, 5)) AND NOT (role = 'system' AND turn = 0))
   SELECT client_id, CAST(conv_id * 1000 + turn AS VARCHAR) AS id, 'Ticket ' || conv_id AS name,
     CASE turn % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Working' ELSE 'Stuck' END AS status,
     CASE WHEN turn % 5 <> 0 THEN '#00ff00' ELSE '#c4c4c4' END AS status_color, 'Board ' || board_id AS board, board_id,
     'https://tickets.example.com/' || board_id || '/' || (conv_id * 1000 + turn) AS url,
     CASE WHEN turn % 3 <> 0 THEN '2024-02-0' || (turn % 9 + 1) END AS due_date FROM t"""))
 def _(f: Frames) -> DataFrame:
-    boards = {b: f.ticket_items.filter(F.col("board_id") == b).drop("board_id") for b in ("user", "assistant")}
+    boards = {b: f.ticket_items.filter(F.col("board_id") == b).drop("board_id") for b in ("user", "assistant", "system")}
     return T.ticket_board(T.union_boards(boards), f.boards, f.done_statuses)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from adloom.functions import scalars as S
 
@@ -96,6 +99,34 @@ def change_window_check(checks: DataFrame, tolerance: float = 0.05, collateral:
     )
 
 
+def as_of(points: DataFrame, series: DataFrame, key: str, at: str, on: str, carried: Sequence[str]) -> DataFrame:
+    """points with the carried columns of the latest series row of their key at or before `at` (an as-of join).
+
+    Points and series rows are put in one stream per key, ordered by date with series rows first on a tie, and
+    the last series row is carried forward; no pair of point and series row is ever formed. Points without an
+    earlier series row get nulls.
+    """
+    row = F.struct(*[F.col(c) for c in carried])
+    pts = points.select("*", F.col(at).alias("_at"), F.lit(1).alias("_is_point"), F.lit(None).cast(
+        StructType([StructField(c, series.schema[c].dataType) for c in carried])).alias("_row"))
+    ser = series.select(F.col(key), F.col(on).alias("_at"), F.lit(0).alias("_is_point"), row.alias("_row"))
+    both = pts.unionByName(ser, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("_at", "_is_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried_row = F.last("_row", ignorenulls=True).over(w)
+    out = both.withColumn("_last", carried_row).where(F.col("_is_point") == 1)
+    return out.select(*points.columns, *[F.col("_last")[c].alias(c) for c in carried])
+
+
+def weekly_checks(changes: DataFrame, series: DataFrame, every_days: int = 7) -> DataFrame:
+    """Each change's own checks, every `every_days` from its window's opening to its close, against the
+    account's latest value and baseline at each check (as-of lookup): change_id, account_id, check_date,
+    target_metric, value, baseline."""
+    days = F.sequence(F.col("window_opens"), F.col("window_closes"), F.expr(f"interval {every_days} days"))
+    points = changes.where(F.col("window_opens") <= F.col("window_closes")).select(
+        "change_id", "account_id", "target_metric", F.explode(days).alias("check_date"))
+    return as_of(points, series, "account_id", "check_date", "snapshot_date", ["value", "baseline"])
+
+
 def consecutive_breach(results: DataFrame, n: int = 2) -> DataFrame:
     """Windows in which either result was bad n checks in a row break open early."""
     w = Window.partitionBy("change_id").orderBy("check_date").rowsBetween(1 - n, 0)

@@ -265,16 +265,31 @@ def _(f: Frames) -> DataFrame:
     return _checked(f)
 
 
-@query("early_breaks", "WIN-12", sql("changes account_daily", f"""{_CHECKS},
-  s AS (SELECT account_id AS change_id, check_date, change_id AS tie, check_result, guardrail_result FROM checked
-    QUALIFY row_number() OVER (PARTITION BY account_id, check_date ORDER BY change_id) = 1),
+_WEEKLY = f"""WITH b AS ({_BASELINE}),
+  p AS (SELECT change_id, account_id, target_metric, CAST(unnest(generate_series(window_opens, window_closes, INTERVAL 7 DAY)) AS DATE) AS check_date
+    FROM changes WHERE window_opens <= window_closes),
+  k AS (SELECT change_id, p.account_id, check_date, b.value AS metric_value, b.baseline AS baseline_value,
+      CASE WHEN target_metric = 'ctr' THEN 'up' ELSE 'down' END AS expected_direction, b.value * 0.9 AS guardrail_value, b.baseline AS guardrail_baseline
+    FROM p ASOF LEFT JOIN b ON p.account_id = b.account_id AND p.check_date >= b.snapshot_date),
+  r AS (SELECT *, (metric_value - baseline_value) / nullif(abs(baseline_value), 0) AS vs_baseline,
+      (guardrail_value - guardrail_baseline) / nullif(abs(guardrail_baseline), 0) AS guardrail_vs_baseline FROM k),
+  g AS (SELECT *, CASE expected_direction WHEN 'down' THEN -vs_baseline ELSE vs_baseline END AS good FROM r),
+  checked AS (SELECT *, CASE WHEN vs_baseline IS NULL THEN NULL WHEN good > 0.05 THEN 'on_track' WHEN good < -0.05 THEN 'worse' ELSE 'drifting' END AS check_result,
+      CASE WHEN coalesce(-guardrail_vs_baseline > 0.10, false) THEN 'collateral_worse' ELSE 'ok' END AS guardrail_result FROM g)"""
+
+
+@query("early_breaks", "WIN-12 OP-42", sql("changes account_daily", f"""{_WEEKLY},
   w AS (SELECT *, (check_result = 'worse' AND lag(check_result) OVER o = 'worse')
-      OR (guardrail_result = 'collateral_worse' AND lag(guardrail_result) OVER o = 'collateral_worse') AS broke FROM s
+      OR (guardrail_result = 'collateral_worse' AND lag(guardrail_result) OVER o = 'collateral_worse') AS broke FROM checked
     WINDOW o AS (PARTITION BY change_id ORDER BY check_date))
   SELECT change_id, bool_or(coalesce(broke, false)) AS broke_open_early, {day('min(CASE WHEN broke THEN check_date END)')} AS broke_on FROM w GROUP BY 1"""))
 def _(f: Frames) -> DataFrame:
-    from adloom.functions.keyed import latest_per_key
-
-    # the account's successive checks form one series
-    rows = latest_per_key(_checked(f), ["account_id", "check_date"], [F.asc("change_id")])
-    return C.consecutive_breach(rows.select(F.col("account_id").alias("change_id"), "check_date", "check_result", "guardrail_result"))
+    """Every change gets its own weekly checks over its window, each against the account's latest value and
+    baseline at that date; changes of one account with overlapping windows break independently."""
+    series = C.trailing_baseline(_series(f))
+    checks = C.weekly_checks(f.changes, series).select(
+        "change_id", "account_id", "check_date", F.col("value").alias("metric_value"), F.col("baseline").alias("baseline_value"),
+        F.when(F.col("target_metric") == "ctr", F.lit("up")).otherwise(F.lit("down")).alias("expected_direction"),
+        (F.col("value") * 0.9).alias("guardrail_value"), F.col("baseline").alias("guardrail_baseline"),
+        F.lit("down").alias("guardrail_direction"))
+    return C.consecutive_breach(C.change_window_check(checks).select("change_id", "check_date", "check_result", "guardrail_result"))

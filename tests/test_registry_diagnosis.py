@@ -175,3 +175,23 @@ def test_rule_without_conditions_is_cant_assess_and_no_row_per_condition(spark):
                    (None, 1): "pass", (None, 2): "cant_assess"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("Generate") == 1  # rules only; conditions are evaluated inside the row
+
+
+def test_as_of_checks_give_each_change_its_own_series(spark):
+    from datetime import date
+
+    from adloom.operators import changes as C
+    series = spark.createDataFrame([("a", date(2024, 1, d), float(v), 100.0) for d, v in ((1, 100), (8, 50), (15, 40), (22, 120))],
+                                   "account_id string, snapshot_date date, value double, baseline double")
+    changes = spark.createDataFrame([(1, "a", "spend", date(2024, 1, 8), date(2024, 1, 15)),   # two bad checks in a row
+                                     (2, "a", "spend", date(2024, 1, 15), date(2024, 1, 29)),  # 40 then 120: no breach
+                                     (3, "b", "spend", date(2024, 1, 8), date(2024, 1, 8))],   # no series at all
+                                    "change_id long, account_id string, target_metric string, window_opens date, window_closes date")
+    checks = C.weekly_checks(changes, series)
+    got = sorted((r.change_id, r.check_date.day, r.value) for r in checks.collect())
+    assert got == [(1, 8, 50.0), (1, 15, 40.0), (2, 15, 40.0), (2, 22, 120.0), (2, 29, 120.0), (3, 8, None)]
+    rows = checks.select("change_id", "check_date", F.col("value").alias("metric_value"), F.col("baseline").alias("baseline_value"),
+                         F.lit("up").alias("expected_direction"), F.col("value").alias("guardrail_value"),
+                         F.col("baseline").alias("guardrail_baseline"), F.lit("down").alias("guardrail_direction"))
+    broke = {r.change_id: r.broke_open_early for r in C.consecutive_breach(C.change_window_check(rows)).collect()}
+    assert broke == {1: True, 2: False, 3: False}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adloom.functions import labels as L, scalars as S
-from adloom.functions.keyed import latest_per_key
+from adloom.functions.keyed import latest_per_key, sequence_in_time
 
 
 def current_versions(log: DataFrame, key: str, created: str = "created_at", tie: str | None = None) -> DataFrame:
@@ -21,6 +21,17 @@ def version_history(log: DataFrame, key: str, value: str, created: str = "create
     return log.filter(F.col(key) == value).orderBy(F.desc(created))
 
 
+def numbered_versions(log: DataFrame, key: str, created: str = "created_at", tie: str = "order_key") -> DataFrame:
+    """Every version of every entry: version_no from 1 (oldest, ties by `tie`), n_versions, is_current (newest).
+
+    Numbering runs per (entry, hour) with the count of earlier hours added, so an entry with very many
+    versions is never one task; the history of one entry is this table filtered to its key.
+    """
+    numbered = sequence_in_time(log, [key], created, tie, number="version_no", previous="_prior")
+    counts = log.groupBy(key).agg(F.count(F.lit(1)).alias("n_versions"))
+    return numbered.drop("_prior").join(counts, key).withColumn("is_current", F.col("version_no") == F.col("n_versions"))
+
+
 def _search(df: DataFrame, columns: Sequence[str], q: str | None) -> DataFrame:
     if not q:
         return df

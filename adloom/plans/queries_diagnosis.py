@@ -57,6 +57,18 @@ def _(f: Frames) -> DataFrame:
     return D.days_since_last_conversion(f.account_daily, f.as_of)
 
 
+@query("tracking_states", "OP-41", sql("account_daily", f"""
+  WITH d AS (SELECT account_id, snapshot_date, sum(clicks) AS clicks, sum(conversions) AS conversions FROM account_daily GROUP BY 1, 2),
+  l AS (SELECT account_id, max(CASE WHEN conversions > 0 THEN snapshot_date END) AS last_conversion FROM d GROUP BY 1),
+  s AS (SELECT account_id, CAST(coalesce(sum(CASE WHEN last_conversion IS NULL OR snapshot_date > last_conversion THEN clicks END), 0) AS BIGINT) AS clicks_since,
+      CAST({AS_OF} - l.last_conversion AS INTEGER) AS days_since FROM d JOIN l USING (account_id) GROUP BY account_id, l.last_conversion)
+  SELECT account_id, CASE WHEN clicks_since <= 200 THEN 'ok' WHEN coalesce(days_since, 1000000) > 14 THEN 'fail'
+    WHEN coalesce(days_since, 1000000) >= 7 THEN 'warn' ELSE 'ok' END AS tracking_state FROM s"""))
+def _(f: Frames) -> DataFrame:
+    since = D.days_since_last_conversion(f.account_daily, f.as_of)
+    return since.select("account_id", D.tracking_state(F.col("days_since_last_conv"), F.col("clicks_since")).alias("tracking_state"))
+
+
 @query("waste_by_cause", "AGG-40", sql("terms", f"""
   SELECT account_id, campaign_type, CASE WHEN NOT term_visible THEN 'unattributable' WHEN relevance_class = 'irrelevant' THEN 'irrelevant_term'
       WHEN geo_bad THEN 'geo_nonconverting' WHEN hour_bad THEN 'hours_nonconverting' ELSE 'clean' END AS waste_cause,

@@ -34,6 +34,17 @@ def _(f: Frames) -> DataFrame:
     return R.order_standards(_standards(f)).select(*_STD.split(", "), "created_at")
 
 
+@query("standard_versions", "WIN-04", sql("standards_log", f"""
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY created_at ASC NULLS FIRST, order_key) AS BIGINT) AS version_no,
+    count(*) OVER (PARTITION BY item_id) AS n_versions,
+    row_number() OVER (PARTITION BY item_id ORDER BY created_at ASC NULLS FIRST, order_key) = count(*) OVER (PARTITION BY item_id) AS is_current,
+    {stamp('created_at')} AS created_at, edited_by, status, active FROM standards_log"""))
+def _(f: Frames) -> DataFrame:
+    """Version history of every standard, numbered; one item's history is a filter on it."""
+    return R.numbered_versions(f.standards_log, "item_id").select(
+        "item_id", "version_no", "n_versions", "is_current", "created_at", "edited_by", "status", "active")
+
+
 @query("filtered_standards", "FLT-17", sql("current_standards", f"""
   SELECT {_STD} FROM current_standards WHERE category IN ('Targeting', 'Ad Copy', 'House rules') AND status = 'confirmed' AND level = 'Account'
     AND (contains(lower(item), 'bing') OR contains(lower(position), 'bing') OR contains(lower(coalesce(exception, '')), 'bing'))"""))

@@ -13,7 +13,7 @@ from adloom.plans.catalog import load_all  # noqa: E402
 
 WHERE = """
 SRC-01 sources.tables.read_table
-SRC-02 sources.landed.read_campaign_spend_landed
+SRC-02 sources.landed.land_campaign_spend
 SRC-03 sources.landed.filter_active_accounts
 SRC-04 sources.landed.read_advertiser_stats_landed
 SRC-05 sources.landed.filter_advertiser_access
@@ -146,7 +146,7 @@ WIN-08 operators.budget.latest_budget_event
 WIN-09 functions.keyed.share_of_max
 WIN-10 operators.triage.status_streak
 WIN-11 operators.changes.trailing_baseline
-WIN-12 operators.changes.consecutive_breach
+WIN-12 operators.changes.weekly_checks
 WIN-13 operators.diagnosis.days_since_last_conversion
 WIN-14 operators.diagnosis.vs_portfolio
 SRT-01 operators.board.feed_order
@@ -242,7 +242,7 @@ ARR-02 functions.scalars.has_capability
 JSN-01 sources.payloads.payload_items
 STM-01 streaming.jobs.stream_events
 STM-02 streaming.jobs.stream_tombstones
-STM-03 streaming.jobs.stream_restate
+STM-03 streaming.pulls.apply_pulls
 STM-04 streaming.jobs.stream_audit
 STM-05 streaming.jobs.stream_calls_upsert
 Q-01 operators.quality.fanout_check

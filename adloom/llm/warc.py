@@ -146,11 +146,13 @@ def records(uri: str) -> Iterator[bytes]:
 
 
 def revisits(captured: DataFrame, least: int = LEAST) -> DataFrame:
-    """archive, page_id, refers_to of the records whose payload a smaller page_id holds."""
+    """of (archive), page, digest, refers_to of the records whose payload a smaller page_id holds; a record is
+    known by its page and its payload digest, so another payload under a repeated page_id stays a response."""
     large = captured.filter(F.col("payload_bytes") >= least)
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n"))
     rows = large.join(first.filter("_n > 1 AND refers_to IS NOT NULL").drop("_n"), "payload_digest")
-    return rows.filter("NOT page_id <=> refers_to").select(F.col("archive").alias("of"), F.col("page_id").alias("page"), "refers_to").distinct()
+    return rows.filter("NOT page_id <=> refers_to").select(
+        F.col("archive").alias("of"), F.col("page_id").alias("page"), F.col("payload_digest").alias("digest"), "refers_to").distinct()
 
 
 def normalise(archives: DataFrame, refers: DataFrame, folder: str) -> DataFrame:
@@ -162,7 +164,8 @@ def normalise(archives: DataFrame, refers: DataFrame, folder: str) -> DataFrame:
 
     def rewrite(which: pd.DataFrame, refers_to: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        known = {None if pd.isna(p) else int(p): int(r) for p, r in zip(refers_to["page"], refers_to["refers_to"])}
+        known = {(None if pd.isna(p) else int(p), d): int(r)
+                 for p, d, r in zip(refers_to["page"], refers_to["digest"], refers_to["refers_to"])}
         for source in which["archive"]:
             uri, out = _new_file(folder, "archive-" + hashlib.sha256(source.encode()).hexdigest()[:12])
             at = 0
@@ -170,10 +173,11 @@ def normalise(archives: DataFrame, refers: DataFrame, folder: str) -> DataFrame:
                 for raw in records(source):
                     fields, head, payload = parse(raw)
                     page = _id(fields["warc-record-id"])
+                    digest = fields["warc-payload-digest"].removeprefix("sha256:")
                     kind = "response"
-                    if page in known and len(payload) >= LEAST:
+                    if (page, digest) in known and len(payload) >= LEAST:
                         kind = "revisit"
-                        raw = _record(kind, page, fields.get("warc-target-uri"), fields["warc-payload-digest"].removeprefix("sha256:"), head, b"", known[page])
+                        raw = _record(kind, page, fields.get("warc-target-uri"), digest, head, b"", known[(page, digest)])
                     squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     member = squeeze.compress(raw) + squeeze.flush()
                     out.write(member)

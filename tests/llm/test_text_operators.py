@@ -319,3 +319,13 @@ def test_pipeline_stages(spark, tmp_path, library):
     ids = {i: ids_of(library, " ".join(cut[i][3])) + [1] for i, *_ in left}
     by_doc, _ = check_packing(corpus_pipeline.run(spark, folder).collect(), ids)
     assert set(by_doc) == set(ids)
+
+
+def test_warc_repeated_page_id_keeps_its_other_payload(spark):
+    """Page 7 twice: payload X (also page 3's) and payload Y (only here). Only the X record revisits page 3."""
+    x, y = "x" * 300, "y" * 300
+    pages = spark.createDataFrame([(3, "https://a.org/3", x), (7, "https://a.org/7", x), (7, "https://a.org/7b", y)],
+                                  "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.payload_digest) for r in warc.archive_pages(pages).collect())
+    dx, dy = hashlib.sha256(x.encode()).hexdigest(), hashlib.sha256(y.encode()).hexdigest()
+    assert got == sorted([(3, 300, "response", None, dx), (7, 300, "revisit", 3, dx), (7, 300, "response", None, dy)])

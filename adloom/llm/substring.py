@@ -14,13 +14,14 @@ found in its own text. Words under a window that starts earlier in the corpus ar
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adloom.llm.hashes import sequences, sliding_min, word_hashes
 from adloom.llm.rows import column, per_batch, texts
@@ -60,20 +61,28 @@ def _seeds(docs: DataFrame, window: int) -> DataFrame:
                 found.append(np.unique(minimizers(word_hashes(words), window, SEED_WORDS)))
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()),
-                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).view(np.int64)))], ["doc_id", "digest", "words", "seeds"])
+                [column(batch, "doc_id"), column(batch, "fp"), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()),
+                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).view(np.int64)))], ["doc_id", "fp", "digest", "words", "seeds"])
 
         return step
 
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return per_batch(rows, start, "doc_id long, digest binary, words int, seeds array<long>")
+    return per_batch(_rows(docs), start, "doc_id long, fp string, digest binary, words int, seeds array<long>")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and fp, the row's fingerprint: rows with one doc_id and other texts keep their own factors."""
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", fingerprint(F.col("text")).alias("fp"))
+
+
+def fingerprint(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
 def _copies(seeded: DataFrame, window: int) -> DataFrame:
     """doc_id, words, ref_doc of documents whose words all stand in the same order in a smaller document:
     each of their windows starts earlier."""
-    rows = seeded.filter(F.col("words") >= window).select("doc_id", "digest", "words")
-    return _shared(rows, ["digest", "words"]).filter("doc_id > ref_doc").select("doc_id", "words", "ref_doc").distinct()
+    rows = seeded.filter(F.col("words") >= window).select("doc_id", "fp", "digest", "words")
+    return _shared(rows, ["digest", "words"]).filter("doc_id > ref_doc").select("doc_id", "fp", "words", "ref_doc").distinct()
 
 
 def _windows(marked: DataFrame, window: int) -> DataFrame:
@@ -81,8 +90,9 @@ def _windows(marked: DataFrame, window: int) -> DataFrame:
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, checks, starts, ids = [], [], [], []
-            for doc, text, seeds in zip(column(batch, "doc_id").to_pylist(), texts(batch), column(batch, "seeds")):
+            keys, checks, starts, ids, fps = [], [], [], [], []
+            for doc, fp, text, seeds in zip(column(batch, "doc_id").to_pylist(), column(batch, "fp").to_pylist(), texts(batch),
+                                            column(batch, "seeds")):
                 h = word_hashes(text.split())
                 known = np.isin(minimizers(h, window, SEED_WORDS), np.asarray(seeds.values).view(np.uint64))
                 at = np.flatnonzero(known)
@@ -93,12 +103,13 @@ def _windows(marked: DataFrame, window: int) -> DataFrame:
                 checks.append((sequences(h, window, 1)[at] >> np.uint64(33)).astype(np.int32))
                 starts.append(at.astype(np.int32))
                 ids.append(np.full(len(at), doc, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, checks, ids, starts)],
-                                              ["key", "check", "doc_id", "start"])
+                fps.extend([fp] * len(at))
+            return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in (keys, checks, ids, starts)], pa.array(fps, pa.string())],
+                                              ["key", "check", "doc_id", "start", "fp"])
 
         return step
 
-    return per_batch(marked.select("doc_id", "text", "seeds"), start, "key long, check int, doc_id long, start int")
+    return per_batch(marked.select("doc_id", "fp", "text", "seeds"), start, "key long, check int, doc_id long, start int, fp string")
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -128,20 +139,20 @@ def factors(starts: np.ndarray, refs: np.ndarray, window: int) -> list[tuple[int
 
 
 def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id and `found`: array of (start, words, ref_doc), the factors of a document that stand in a
-    document with a smaller id. Documents without one give no row."""
+    """doc_id, fp (the row's text fingerprint) and `found`: array of (start, words, ref_doc), the factors of a
+    row that stand in a document with a smaller id. Rows without one give no row."""
     steps = Steps(docs.sparkSession, "substring")
     seeded = steps.write(_seeds(docs, window))
     copies = steps.write(_copies(seeded, window))
-    seeds = steps.write(seeded.select("doc_id", "seeds").join(copies.hint("merge"), "doc_id", "left_anti").select(F.explode("seeds").alias("seed"), "doc_id"))
+    seeds = steps.write(seeded.select("doc_id", "fp", "seeds").join(copies.select("doc_id", "fp").hint("merge"), ["doc_id", "fp"], "left_anti")
+                        .select(F.explode("seeds").alias("seed"), "doc_id"))
     steps.drop(seeded)
     marks = steps.write(_shared(seeds, ["seed"]).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
     steps.drop(seeds)
-    texts_of = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    windows = steps.write(_windows(texts_of.join(marks.hint("merge"), "doc_id"), window))
+    windows = steps.write(_windows(_rows(docs).join(marks.hint("merge"), "doc_id"), window))
     steps.drop(marks)
-    hits = _shared(windows, ["key", "check"]).filter("doc_id > ref_doc").select("doc_id", "start", "ref_doc")
-    grouped = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "ref_doc"))).alias("hits"))
+    hits = _shared(windows, ["key", "check"]).filter("doc_id > ref_doc").select("doc_id", "fp", "start", "ref_doc")
+    grouped = hits.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "ref_doc"))).alias("hits"))
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64())]))
@@ -151,12 +162,12 @@ def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
             for hits in column(batch, "hits"):
                 at, ref = (np.asarray(hits.values.field(k)) for k in ("start", "ref_doc"))
                 out.append([{"start": a, "words": n, "ref_doc": r} for a, n, r in factors(at, ref, window)])
-            return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(out, kind)], ["doc_id", "found"])
+            return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "fp"), pa.array(out, kind)], ["doc_id", "fp", "found"])
 
         return step
 
-    parts = per_batch(grouped, start, "doc_id long, found array<struct<start:int,words:int,ref_doc:long>>")
-    whole = copies.select("doc_id", F.array(F.struct(F.lit(0).alias("start"), "words", "ref_doc")).alias("found"))
+    parts = per_batch(grouped, start, "doc_id long, fp string, found array<struct<start:int,words:int,ref_doc:long>>")
+    whole = copies.select("doc_id", "fp", F.array(F.struct(F.lit(0).alias("start"), "words", "ref_doc")).alias("found"))
     found = steps.write(parts.union(whole))
     steps.drop(windows)
     return found
@@ -177,14 +188,15 @@ def _cut(text: bytes, found: list[dict] | None, judged: bool, window: int) -> tu
 
 
 def _with_factors(docs: DataFrame, window: int) -> DataFrame:
-    return docs.select("doc_id", "text").join(duplicate_factors(docs, window).hint("merge"), "doc_id", "left")
+    rows = docs.select("doc_id", "text", fingerprint(F.col("text")).alias("fp"))
+    return rows.join(duplicate_factors(docs, window).hint("merge"), ["doc_id", "fp"], "left")
 
 
 def dedup_digests(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row.
 
     A null or empty text has no words and the digest of nothing. Rows with one doc_id are one document:
-    they do not remove each other's words. A null doc_id has no place in the order: such a row keeps
+    they do not remove each other's words, and each keeps the factors of its own text. A null doc_id has no place in the order: such a row keeps
     all its words and removes none elsewhere. An empty table gives no row; other columns are not looked at.
     """
 
@@ -208,14 +220,18 @@ def dedup_digests(docs: DataFrame, window: int = 20) -> DataFrame:
 def dedup_texts(docs: DataFrame, window: int = 20) -> DataFrame:
     """The rows of docs, with all their columns, with duplicate spans cut from `text`: a text that loses
     words becomes its other words joined by single spaces, all other texts stay as they are (null too).
+    Internal columns get names that no column of docs has.
     """
+    names = docs.columns
+    tag = uuid.uuid4().hex[:12]
+    doc_c, fp_c, row_c, found_c = (f"_{k}_{tag}" for k in ("doc", "fp", "row", "found"))
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         at = names.index("text")
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for doc, text, found in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), column(batch, "_found").to_pylist()):
+            for doc, text, found in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), column(batch, found_c).to_pylist()):
                 n, kept = _cut((text or "").encode(), found, doc is not None, window)
                 out.append(text if len(kept) == n else b" ".join(kept).decode())
             cols = [batch.column(k) for k in range(len(names))]
@@ -224,7 +240,7 @@ def dedup_texts(docs: DataFrame, window: int = 20) -> DataFrame:
 
         return step
 
-    names = docs.columns
-    found = duplicate_factors(docs, window).select(F.col("doc_id").alias("_doc"), F.col("found").alias("_found"))
-    joined = docs.join(found.hint("merge"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    return per_batch(joined, start, docs.schema)
+    found = duplicate_factors(docs, window).select(F.col("doc_id").alias(doc_c), F.col("fp").alias(fp_c), F.col("found").alias(found_c))
+    keyed = docs.select("*", fingerprint(F.col("text")).alias(row_c))
+    joined = keyed.join(found.hint("merge"), (F.col("doc_id") == F.col(doc_c)) & (F.col(row_c) == F.col(fp_c)), "left")
+    return per_batch(joined.drop(doc_c, fp_c, row_c), start, docs.schema)

@@ -329,3 +329,15 @@ def test_warc_repeated_page_id_keeps_its_other_payload(spark):
     got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.payload_digest) for r in warc.archive_pages(pages).collect())
     dx, dy = hashlib.sha256(x.encode()).hexdigest(), hashlib.sha256(y.encode()).hexdigest()
     assert got == sorted([(3, 300, "response", None, dx), (7, 300, "revisit", 3, dx), (7, 300, "response", None, dy)])
+
+
+def test_substring_repeated_doc_id_keeps_its_own_factors(spark):
+    """doc 1 = A (30 words); doc 5 twice, once A and once other words B: only the A row of doc 5 loses words."""
+    a = " ".join(f"a{i}" for i in range(30))
+    b = " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.dedup_digests(docs, window=20).collect())
+    assert got == [(1, 30, 0), (5, 30, 30), (5, 40, 0)]
+    clash = docs.withColumn("_doc", F.lit(1)).withColumn("_found", F.lit("x"))
+    texts_ = sorted((r.doc_id, len(r.text.split()) if r.text else 0, r._doc, r._found) for r in substring.dedup_texts(clash, 20).collect())
+    assert texts_ == [(1, 30, 1, "x"), (5, 0, 1, "x"), (5, 40, 1, "x")]

@@ -21,6 +21,8 @@ part also holds the other tokens of a document.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 import numpy as np
@@ -281,8 +283,9 @@ def first_of_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     Of repeated rows of one doc_id one stays (the smallest text); rows without a doc_id stay.
     """
     joined = jaccard_join(docs, words, percent)
-    others = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    left = docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    other, rank = (f"_{k}_{uuid.uuid4().hex[:12]}" for k in ("other", "rank"))  # no column of docs has these names
+    others = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    left = docs.join(others, F.col("doc_id") == F.col(other), "left_anti")
     order = Window.partitionBy("doc_id").orderBy("text")
-    ranked = left.withColumn("_rank", F.row_number().over(order))
-    return ranked.filter("_rank = 1 OR doc_id IS NULL").drop("_rank")
+    ranked = left.withColumn(rank, F.row_number().over(order))
+    return ranked.filter((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)

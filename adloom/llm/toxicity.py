@@ -15,15 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from adloom.llm.rows import column, per_batch, texts
+from adloom.llm.work import Steps
 
 SAMPLE = 8_000  # labelled rows used for fitting; what reaches the driver is bounded by it
 SPACE = 1 << 20  # hashed words
 MIN_DOCS = 6  # sampled documents a word must be in
 FOLDS = 3
-WORDS_KEPT = 20_000  # distinct hashed words of one sampled document, smallest first
 MEMO_ENTRIES = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -104,11 +104,14 @@ class Chain:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]], sample: int = SAMPLE) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]], sample: int = SAMPLE) -> Chain | None:
     """Fit the chain in the order of `categories`: (name, SQL condition over labels).
 
     The rows come from the labels with the smallest hash of their id, `sample` of them at most; labels
-    with a null id or a null category are left out, and of repeated labels of an id one is used.
+    with a null id or a null category are left out, and of repeated labels of an id one is used (the largest
+    flag). Of repeated documents of an id, the smallest text is fitted. Every word of a fitted text counts;
+    words in fewer than MIN_DOCS fitted texts are dropped in Spark (hashed words are at most SPACE), so the
+    driver receives only columns that are fitted. No labelled row with a text: None (nothing to fit).
     """
     flags = [f"_y{k}" for k in range(len(categories))]
     known = labels.select("doc_id", *[F.expr(sql).cast("int").alias(y) for y, (_, sql) in zip(flags, categories)]).dropna()
@@ -117,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted({f for w in set(t.split()) for f in features(w)})[:WORDS_KEPT] for t in texts(batch)]
+            found = [sorted({f for w in set(t.split()) for f in features(w)}) for t in texts(batch)]
             return pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array(found, pa.list_(pa.int32())), *[column(batch, y) for y in flags]],
                 ["doc_id", "words", *flags])
@@ -126,8 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
 
     # the sample is bounded by its parameter, so it may be sent to every task
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = per_batch(rows, start, "doc_id long, words array<int>, " + ", ".join(f"{y} int" for y in flags))
-    got = sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    rows = Steps(docs.sparkSession, "toxicity").write(per_batch(rows, start, "doc_id long, words array<int>, " + ", ".join(f"{y} int" for y in flags)))
+    # document frequency of every hashed word in Spark; only words of MIN_DOCS fitted texts travel on
+    often = (rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("_d"))
+             .where(F.col("_d") >= MIN_DOCS).select("w"))
+    kept = rows.select("doc_id", F.explode_outer("words").alias("w"), *flags).join(F.broadcast(often), "w", "left_semi")
+    kept = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("w")).alias("words"))
+    rows = rows.drop("words").join(kept, "doc_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<int>")))
+    got = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    if not got:
+        return None
     names = tuple(n for n, _ in categories)
     y = np.array([[r[f] for f in flags] for r in got], float).reshape(len(got), len(names))
     flat = np.array([w for r in got for w in r["words"]], np.int64)
@@ -206,14 +219,20 @@ CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic, toxic (p_toxic >= threshold) per row of docs."""
+    """doc_id, p_low_quality, p_toxic, toxic (p_toxic >= threshold) per row of docs. Without any labelled
+    document nothing is fitted: probabilities are null and no row is toxic."""
     chain = fit(docs, labels, CATEGORIES, sample)
+    if chain is None:
+        return docs.select("doc_id", *[F.lit(None).cast("double").alias(f"p_{n}") for n, _ in CATEGORIES], F.lit(False).alias("toxic"))
     return score(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, whose toxic probability stays below the threshold."""
+    """The rows of docs, with all their columns, whose toxic probability stays below the threshold; all rows
+    when there is no labelled document to fit on."""
     chain = fit(docs, labels, CATEGORIES, sample)
+    if chain is None:
+        return docs
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         judge = _judge(chain)

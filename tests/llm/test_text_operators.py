@@ -341,3 +341,16 @@ def test_substring_repeated_doc_id_keeps_its_own_factors(spark):
     clash = docs.withColumn("_doc", F.lit(1)).withColumn("_found", F.lit("x"))
     texts_ = sorted((r.doc_id, len(r.text.split()) if r.text else 0, r._doc, r._found) for r in substring.dedup_texts(clash, 20).collect())
     assert texts_ == [(1, 30, 1, "x"), (5, 0, 1, "x"), (5, 40, 1, "x")]
+
+
+def test_toxicity_without_labels_keeps_every_row(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "z z z"), (2, "d e")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted((r.doc_id, r.p_toxic, r.toxic) for r in toxicity.toxicity(docs, none).collect()) == [(1, None, False), (1, None, False), (2, None, False)]
+    assert toxicity.keep_clean(docs, none).count() == 3
+
+
+def test_first_of_group_keeps_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8)], "doc_id long, text string, _other int, _rank int")
+    assert [(r.doc_id, r._other, r._rank) for r in jaccard.first_of_group(docs).collect()] == [(1, 5, 6)]

@@ -354,3 +354,10 @@ def test_first_of_group_keeps_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8)], "doc_id long, text string, _other int, _rank int")
     assert [(r.doc_id, r._other, r._rank) for r in jaccard.first_of_group(docs).collect()] == [(1, 5, 6)]
+
+
+def test_jaccard_refuses_thresholds_it_cannot_keep_whole(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    for bad in (50, 75, 100):
+        with pytest.raises(ValueError, match="lose no link"):
+            jaccard.jaccard_join(docs, 3, bad)

@@ -119,6 +119,32 @@ def validate_event(df: DataFrame) -> DataFrame:
     return df.withColumn("error", error)
 
 
+EDIT_SCHEMA = ("event_id string, client string, channel string, year int, month int, amount decimal(38,9), alloc_type string, "
+               "event_type string, changed_by string, changed_at timestamp, note string")
+
+
+def record_edits(path: str, edits: DataFrame, editor: Column, now: Column, batch: str | None = None) -> DataFrame:
+    """Budget edits as one write: validate, trim and type, stamp editor and time on the server side (any
+    changed_by or changed_at of the request is ignored), and append the valid rows to the append-only log at
+    `path` with id de-duplication (a retried request adds nothing; a committed `batch` is skipped). Returns the
+    rejected rows: event_id and error."""
+    from pyspark.sql.types import StructType
+
+    from adloom.sinks import tables as T
+
+    checked = T.materialize(validate_event(edits), "budget-edits")
+    shaped = checked.where(F.col("error").isNull()).select(
+        F.col("event_id").cast("string").alias("event_id"), F.trim(F.col("client").cast("string")).alias("client"),
+        F.trim(F.col("channel").cast("string")).alias("channel"), S.number(F.col("year")).cast("int").alias("year"),
+        S.number(F.col("month")).cast("int").alias("month"), S.number(F.col("amount")).cast("decimal(38,9)").alias("amount"),
+        (F.col("alloc_type") if "alloc_type" in edits.columns else F.lit(None)).cast("string").alias("alloc_type"),
+        F.col("event_type").cast("string").alias("event_type"), editor.cast("string").alias("changed_by"),
+        now.cast("timestamp").alias("changed_at"),
+        (F.col("note") if "note" in edits.columns else F.lit(None)).cast("string").alias("note"))
+    T.append_event(edits.sparkSession, path, shaped, StructType.fromDDL(EDIT_SCHEMA), "event_id", batch=batch)
+    return checked.where(F.col("error").isNotNull()).select("event_id", "error")
+
+
 def validate_tombstones(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Malformed ids, batches above the size limit, and rows without a batch carry an error."""
     sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_size"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from adloom.functions import labels as L, scalars as S
 from adloom.operators import budget as B, pacing as P, quality as Q, spend as SP
 from adloom.plans.catalog import query
 from adloom.plans.frames import PACING_MONTH, PACING_YEAR, Frames, client_name
 from adloom.plans.oracle import AS_OF, day, name_of, sql, stamp
+from adloom.session import work_dir
+from adloom.sinks import tables as T
 from adloom.sources.sheets import read_committed_sheet
 
 _MONTHS = ", ".join(f"m{m}" for m in range(1, 13))
@@ -189,6 +192,35 @@ def _(f: Frames) -> DataFrame:
     return B.validate_event(rows).select("event_id", "error")
 
 
+@query("recorded_budget_edits", "FLT-19 SNK-05", sql("order_cells", """
+  WITH e AS (SELECT event_id, CASE WHEN order_key % 7 = 0 THEN '  ' ELSE ' ' || client || ' ' END AS client, channel, year + 25 AS year,
+      CASE WHEN order_key % 11 = 0 THEN 13 ELSE month END AS month,
+      CASE WHEN order_key % 13 = 0 THEN 'abc' ELSE CAST(amount AS VARCHAR) END AS amount,
+      CASE WHEN o_orderstatus = 'F' THEN 'void' ELSE event_type END AS event_type FROM order_cells)
+  SELECT event_id, trim(client) AS client, channel, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month,
+    CAST(amount AS DOUBLE) AS amount, event_type, 'editor@example.com' AS changed_by FROM e
+  WHERE trim(client) <> '' AND year BETWEEN 2020 AND 2100 AND month BETWEEN 1 AND 12 AND TRY_CAST(amount AS DOUBLE) IS NOT NULL
+    AND event_type IN ('create', 'update', 'delete')"""))
+def _(f: Frames) -> DataFrame:
+    """Edits with holes and padded names recorded in three requests: all of them, a retry of the same
+    request (same batch id), and a retry of the valid half under a new batch id; the log holds each valid
+    edit once, trimmed and stamped by the server."""
+    key = F.col("order_key")
+    edits = f.order_cells.select(
+        "event_id", F.when(key % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("client"), F.lit(" "))).alias("client"), "channel",
+        (F.col("year") + 25).alias("year"), F.when(key % 11 == 0, F.lit(13)).otherwise(F.col("month")).alias("month"),
+        F.when(key % 13 == 0, F.lit("abc")).otherwise(F.col("amount").cast("string")).alias("amount"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("void")).otherwise(F.col("event_type")).alias("event_type"),
+        F.lit("someone.else@example.com").alias("changed_by"))
+    log = work_dir(f.spark, "budget-log")
+    editor, now = F.lit("editor@example.com"), F.lit("2024-01-31 12:00:00").cast("timestamp")
+    B.record_edits(log, edits, editor, now, batch="request-1")
+    B.record_edits(log, edits, editor, now, batch="request-1")
+    B.record_edits(log, edits.where(key % 2 == 0), editor, now, batch="request-2")
+    rows = T.read_log(f.spark, log, StructType.fromDDL(B.EDIT_SCHEMA))
+    return rows.select("event_id", "client", "channel", "year", "month", F.col("amount").cast("double").alias("amount"), "event_type", "changed_by")
+
+
 @query("validated_tombstones", "FLT-23", sql("order_cells", """
   WITH t AS (SELECT changed_by || '-' || year AS batch_id, CASE WHEN event_type = 'delete' THEN 'x' || event_id ELSE event_id END AS event_id
     FROM order_cells),

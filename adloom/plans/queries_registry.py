@@ -141,6 +141,31 @@ def _(f: Frames) -> DataFrame:
     return R.validate_rule(rows).select("id", "error")
 
 
+@query("edited_rules", "SNK-09 FLT-20", sql("rules conditions", """
+  WITH e AS (SELECT id FROM rules WHERE level = 'account' AND id % 5 <> 0),
+  c AS (SELECT rule_id, count(*) AS n FROM conditions WHERE rule_id NOT IN (SELECT id FROM e) GROUP BY 1)
+  SELECT r.id, CASE WHEN e.id IS NOT NULL THEN r.condition_text || ' (edited)' ELSE r.condition_text END AS condition_text,
+    CASE WHEN e.id IS NOT NULL THEN 'any' ELSE r.match END AS match,
+    CAST(CASE WHEN e.id IS NOT NULL THEN 1 ELSE coalesce(c.n, 0) END AS BIGINT) AS n_conditions
+  FROM rules r LEFT JOIN e ON e.id = r.id LEFT JOIN c ON c.rule_id = r.id"""))
+def _(f: Frames) -> DataFrame:
+    """Every account rule edited in one request: those with id divisible by 5 name an unknown level and are
+    refused, and edits of ids that do not exist come back not_found; conditions are replaced wholesale."""
+    key = F.col("id")
+    cond = F.array(F.struct(F.lit("ctr").alias("metric"), F.lit("lt").alias("operator"), F.lit(0.5).alias("threshold"),
+                            F.lit(None).cast("double").alias("threshold_high")))
+    asked = f.rules.filter("level = 'account'")
+    edits = asked.select(
+        key.alias("id"), F.when(key % 5 == 0, F.lit("keyword")).otherwise(F.col("level")).alias("level"), "status_id",
+        F.concat("condition_text", F.lit(" (edited)")).alias("condition_text"), "exception_text", F.lit("any").alias("match"),
+        "campaign_type", cond.alias("conditions"))
+    missing = edits.withColumn("id", -key - 1)
+    rules, conditions, _ = E.edit_rules(f.rules, f.conditions, edits.unionByName(missing))
+    counts = conditions.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_conditions"))
+    return rules.join(counts, rules.id == counts.rule_id, "left").select(
+        "id", "condition_text", "match", F.coalesce("n_conditions", F.lit(0)).cast("long").alias("n_conditions"))
+
+
 @query("replaced_conditions", "SNK-09", sql("rules conditions", """
   SELECT rule_id, position, metric, operator, threshold FROM conditions WHERE rule_id NOT IN (SELECT id FROM rules WHERE level = 'account')
   UNION ALL SELECT id, CAST(0 AS INTEGER), 'ctr', 'lt', CAST(0.5 AS DOUBLE) FROM rules WHERE level = 'account'

@@ -46,6 +46,26 @@ def replace_children(conditions: DataFrame, edits: DataFrame) -> DataFrame:
     return kept.select(*cols).unionByName(fresh.select(*cols))
 
 
+def edit_rules(rules: DataFrame, conditions: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A rule edit as one operation: validate, update the rule's fields, replace its conditions wholesale.
+
+    edits: id, the rule's fields, conditions array<struct<metric, operator, threshold, threshold_high>>.
+    Returns (rules, conditions, outcomes); outcomes has id and outcome: the first validation error, or
+    `not_found`, or `updated`. Only updated rules change; a missing match means `all`.
+    """
+    from adloom.operators.registry import validate_rule
+
+    checked = validate_rule(edits).join(rules.select("id", F.lit(True).alias("_known")), "id", "left")
+    outcome = F.coalesce(F.col("error"), F.when(F.col("_known").isNull(), F.lit("not_found")), F.lit("updated"))
+    checked = checked.withColumn("outcome", outcome)
+    applied = checked.where(F.col("outcome") == "updated").drop("error", "_known", "outcome")
+    fields = [c for c in rules.columns if c != "id"]
+    new_rows = applied.select("id", *[(F.coalesce(F.col(c), F.lit("all")) if c == "match" else F.col(c)).alias(c) for c in fields])
+    new_rules = rules.join(applied.select("id"), "id", "left_anti").unionByName(new_rows.select(*rules.columns))
+    new_conditions = replace_children(conditions, applied.select(F.col("id").alias("rule_id"), "conditions"))
+    return new_rules, new_conditions, checked.select("id", "outcome")
+
+
 def delete_cascade(rules: DataFrame, conditions: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Delete rules together with their conditions."""
     gone = ids.select("id")

@@ -195,3 +195,21 @@ def test_as_of_checks_give_each_change_its_own_series(spark):
                          F.col("baseline").alias("guardrail_baseline"), F.lit("down").alias("guardrail_direction"))
     broke = {r.change_id: r.broke_open_early for r in C.consecutive_breach(C.change_window_check(rows)).collect()}
     assert broke == {1: True, 2: False, 3: False}
+
+
+def test_rule_edit_is_one_operation(spark):
+    from adloom.sinks.registry import edit_rules
+    rules = spark.createDataFrame([(1, "account", 1, "r1", None, "all", "brand"), (2, "account", 1, "r2", None, "any", None)],
+                                  "id long, level string, status_id int, condition_text string, exception_text string, match string, campaign_type string")
+    conds = spark.createDataFrame([(1, 0, "ctr", "lt", 0.1, None), (1, 1, "cvr", "lt", 0.1, None), (2, 0, "cpc", "gt", 5.0, None)],
+                                  "rule_id long, position int, metric string, operator string, threshold double, threshold_high double")
+    c = "array<struct<metric:string,operator:string,threshold:double,threshold_high:double>>"
+    edits = spark.createDataFrame([(1, "account", 1, "new", None, None, "brand", [("spend", "gt", 9.0, None)]),
+                                   (2, "keyword", 1, "bad", None, "any", None, []),
+                                   (7, "account", 1, "ghost", None, "all", None, [])],
+                                  f"id long, level string, status_id int, condition_text string, exception_text string, match string, campaign_type string, conditions {c}")
+    new_rules, new_conds, outcomes = edit_rules(rules, conds, edits)
+    assert sorted((r.id, r.outcome) for r in outcomes.collect())[0] == (1, "updated")
+    assert {r.id: r.outcome for r in outcomes.collect()}[7] == "not_found"
+    assert {r.id: (r.condition_text, r.match) for r in new_rules.collect()} == {1: ("new", "all"), 2: ("r2", "any")}
+    assert sorted((r.rule_id, r.position, r.metric) for r in new_conds.collect()) == [(1, 0, "spend"), (2, 0, "cpc")]

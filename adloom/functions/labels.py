@@ -145,3 +145,25 @@ LEGACY_CAPABILITIES = {
 # ---- fixed values: tickets ----------------------------------------------------------
 DEFAULT_STATUS_COLOR = "#c4c4c4"
 DUE_DATE_COLUMN = "date4"
+
+# ---- fixed values: validation messages, word for word (callers and the checking SQL match on them) ----
+EVENT_CLIENT_REQUIRED = 'client is required'
+EVENT_YEAR_INVALID = 'year must be a valid integer'
+EVENT_MONTH_INVALID = 'month must be 1-12'
+EVENT_AMOUNT_INVALID = 'amount must be a number'
+TOMBSTONE_ID_INVALID = 'Invalid event_id'
+RULE_STATUS_REQUIRED = 'status_id is required'
+RULE_TEXT_REQUIRED = 'condition_text is required'
+RULE_METRIC_REQUIRED = 'each condition needs a metric'
+RULE_BETWEEN_HALF = "'between' needs both threshold and threshold_high"
+STANDARD_FIELDS_REQUIRED = 'item_id, category, level, and item are required.'
+STANDARD_STATUS_INVALID = 'status must be confirmed or pending.'
+CARD_FIELDS_REQUIRED = 'card_id, pillar, title, and status are required'
+ACCESS_EMAIL_REQUIRED = 'A valid email is required'
+ACCESS_ROLE_INVALID = 'Invalid role'
+ACCESS_CAPABILITY_INVALID = 'Invalid capability (expected modulo.accion)'
+ACCESS_KEEP_ADMIN = 'This account is lockout-protected and must remain admin.'
+ACCESS_KEEP_ACTIVE = 'This account is lockout-protected and cannot be deactivated.'
+ACCESS_NOTHING_TO_REVOKE = 'This account is lockout-protected; nothing to revoke on admin.'
+ACCESS_USER_EXISTS = 'User already exists'
+ACCESS_USER_MISSING = 'No user found with that email'

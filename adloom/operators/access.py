@@ -112,21 +112,21 @@ def validate_change(df: DataFrame, roles: DataFrame, users: DataFrame, protected
     with_cap = action.isin("grant", "revoke")
     active = F.coalesce("active", F.lit(False))
     error = (
-        F.when(~F.col("_email").rlike(L.EMAIL_PATTERN), F.lit("A valid email is required"))
+        F.when(~F.col("_email").rlike(L.EMAIL_PATTERN), F.lit(L.ACCESS_EMAIL_REQUIRED))
         .when(~F.coalesce(with_role | with_cap | (action == "set_active"), F.lit(False)),
               F.concat(F.lit("Unknown action: "), F.coalesce(action, F.lit("undefined"))))
-        .when(with_role & ~F.col("_role").rlike(L.ROLE_PATTERN), F.lit("Invalid role"))
+        .when(with_role & ~F.col("_role").rlike(L.ROLE_PATTERN), F.lit(L.ACCESS_ROLE_INVALID))
         .when(with_role & F.col("_role_known").isNull(), F.concat(F.lit("Unknown role: "), "_role"))
         .when(with_cap & ~F.col("_cap").rlike(L.CAPABILITY_PATTERN),
-              F.lit("Invalid capability (expected modulo.accion)"))
+              F.lit(L.ACCESS_CAPABILITY_INVALID))
         .when((action == "set_role") & guarded & (F.col("_role") != "admin"),
-              F.lit("This account is lockout-protected and must remain admin."))
+              F.lit(L.ACCESS_KEEP_ADMIN))
         .when((action == "set_active") & guarded & ~active,
-              F.lit("This account is lockout-protected and cannot be deactivated."))
+              F.lit(L.ACCESS_KEEP_ACTIVE))
         .when((action == "revoke") & guarded,
-              F.lit("This account is lockout-protected; nothing to revoke on admin."))
-        .when((action == "add_user") & F.col("_user_known").isNotNull(), F.lit("User already exists"))
-        .when((action != "add_user") & F.col("_user_known").isNull(), F.lit("No user found with that email"))
+              F.lit(L.ACCESS_NOTHING_TO_REVOKE))
+        .when((action == "add_user") & F.col("_user_known").isNotNull(), F.lit(L.ACCESS_USER_EXISTS))
+        .when((action != "add_user") & F.col("_user_known").isNull(), F.lit(L.ACCESS_USER_MISSING))
     )
     return rows.withColumn("error", error).drop("_email", "_role", "_cap", "_role_known", "_user_known")
 

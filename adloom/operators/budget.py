@@ -104,13 +104,13 @@ def _not_whole(name: str, low: int, high: int) -> Column:
 
 def validate_event(df: DataFrame) -> DataFrame:
     """First problem of each event as `error`; NULL means it may be appended."""
-    error = F.when(_blank("client"), F.lit("client is required"))
+    error = F.when(_blank("client"), F.lit(L.EVENT_CLIENT_REQUIRED))
     for name in ("channel", "event_type"):
         error = error.when(_blank(name), F.lit(f"{name} is required"))
     error = (
-        error.when(_not_whole("year", 2020, 2100), F.lit("year must be a valid integer"))
-        .when(_not_whole("month", 1, 12), F.lit("month must be 1-12"))
-        .when(S.number(F.col("amount")).isNull(), F.lit("amount must be a number"))
+        error.when(_not_whole("year", 2020, 2100), F.lit(L.EVENT_YEAR_INVALID))
+        .when(_not_whole("month", 1, 12), F.lit(L.EVENT_MONTH_INVALID))
+        .when(S.number(F.col("amount")).isNull(), F.lit(L.EVENT_AMOUNT_INVALID))
         .when(
             ~F.col("event_type").isin(L.EVENT_TYPES),
             F.lit("event_type must be one of " + ", ".join(L.EVENT_TYPES)),
@@ -150,7 +150,7 @@ def validate_tombstones(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_size"))
     error = F.when(F.col(batch).isNull(), F.lit("Missing batch id")).when(
         F.col("_size") > L.MAX_TOMBSTONES_PER_BATCH, F.lit(f"Max {L.MAX_TOMBSTONES_PER_BATCH} events per delete")
-    ).when(~F.coalesce(F.col("event_id").rlike(L.UUID_PATTERN), F.lit(False)), F.lit("Invalid event_id"))
+    ).when(~F.coalesce(F.col("event_id").rlike(L.UUID_PATTERN), F.lit(False)), F.lit(L.TOMBSTONE_ID_INVALID))
     return df.join(sizes, batch, "left").withColumn("error", error).drop("_size")
 
 

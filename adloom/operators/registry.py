@@ -161,23 +161,23 @@ def validate_rule(df: DataFrame) -> DataFrame:
     )
     error = (
         F.when(_outside(F.col("level"), L.RULE_LEVELS), F.lit("level must be one of " + ", ".join(L.RULE_LEVELS)))
-        .when(_missing("status_id"), F.lit("status_id is required"))
-        .when(F.trim(F.coalesce("condition_text", F.lit(""))) == "", F.lit("condition_text is required"))
+        .when(_missing("status_id"), F.lit(L.RULE_STATUS_REQUIRED))
+        .when(F.trim(F.coalesce("condition_text", F.lit(""))) == "", F.lit(L.RULE_TEXT_REQUIRED))
         .when(
             (F.coalesce("match", F.lit("")) != "") & _outside(F.col("match"), L.RULE_MATCHES),
             F.lit("match must be one of " + ", ".join(L.RULE_MATCHES)),
         )
-        .when(no_metric, F.lit("each condition needs a metric"))
+        .when(no_metric, F.lit(L.RULE_METRIC_REQUIRED))
         .when(bad_operator, F.lit("condition operator must be one of " + ", ".join(L.RULE_OPERATORS)))
-        .when(half_between, F.lit("'between' needs both threshold and threshold_high"))
+        .when(half_between, F.lit(L.RULE_BETWEEN_HALF))
     )
     return df.withColumn("error", error)
 
 
 def validate_standard(df: DataFrame) -> DataFrame:
     error = (
-        F.when(_missing("item_id", "category", "level", "item"), F.lit("item_id, category, level, and item are required."))
-        .when(_outside(F.col("status"), L.STANDARD_STATUSES), F.lit("status must be confirmed or pending."))
+        F.when(_missing("item_id", "category", "level", "item"), F.lit(L.STANDARD_FIELDS_REQUIRED))
+        .when(_outside(F.col("status"), L.STANDARD_STATUSES), F.lit(L.STANDARD_STATUS_INVALID))
         .when(_outside(F.col("level"), L.STANDARD_LEVELS), F.lit("invalid level."))
     )
     return df.withColumn("error", error)
@@ -185,4 +185,4 @@ def validate_standard(df: DataFrame) -> DataFrame:
 
 def validate_card(df: DataFrame) -> DataFrame:
     missing = _missing("card_id", "pillar", "title", "status")
-    return df.withColumn("error", F.when(missing, F.lit("card_id, pillar, title, and status are required")))
+    return df.withColumn("error", F.when(missing, F.lit(L.CARD_FIELDS_REQUIRED)))

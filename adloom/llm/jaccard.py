@@ -218,6 +218,7 @@ def _open_groups(shared: DataFrame, sets: DataFrame, steps: Steps, percent: int)
     # of another component hold there: any other link would join what is joined already
     meet = rows.join(groups, "sig").filter("block <= group AND NOT (lo = hi AND comp = lo)")
     meet = steps.write(meet.select("node", "group", "comp").distinct())
+    steps.drop(rows)
     load = meet.join(home.select("node", "n"), "node").groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("turns"))
     query = meet.join(load, "group").withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns")).cast("int"))
     query = query.join(sets, "node").select(*[F.col(c).alias(f"q_{c}") for c in ("group", "turn", "node", "comp", "toks")])
@@ -242,7 +243,9 @@ def _open_groups(shared: DataFrame, sets: DataFrame, steps: Steps, percent: int)
                         found.append((int(node), other))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return query.groupBy("q_group", "q_turn").cogroup(member.groupBy("group", "turn")).applyInPandas(open_, "a long, b long")
+    found = steps.write(query.groupBy("q_group", "q_turn").cogroup(member.groupBy("group", "turn")).applyInPandas(open_, "a long, b long"))
+    steps.drop(home, meet)
+    return found
 
 
 #: Smallest threshold for which no link was lost (measured: 0 of 400 near-threshold pairs lost at 80 and 90).
@@ -269,17 +272,21 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     shared = steps.write(_shared_signatures(docs, words, percent))
     wanted = steps.write(shared.select("node").distinct().join(first, "node"))
     sets = steps.write(_sets(docs, wanted, words).dropDuplicates(["node"]))
+    steps.drop(wanted)
     stars = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = steps.write(_true_pairs(stars, sets, percent))
     comps = components(links, steps)
     labelled = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = labelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi")
     open_rows = steps.write(labelled.join(mixed.select("sig"), "sig"))
-    more = steps.write(_open_groups(open_rows, sets, steps, percent))
+    steps.drop(shared)  # the signatures of all classes: only those of mixed groups go on
+    more = _open_groups(open_rows, sets, steps, percent)
+    steps.drop(open_rows, sets)
     comps = components(links.union(more), steps)
     of_node = first.join(comps, "node", "left").select("node", F.col("doc_id").alias("class_id"), F.coalesce("comp", "node").alias("comp"))
     low = of_node.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     of_node = steps.write(of_node.join(low, "comp").select("node", "class_id", "component_id"))
+    steps.drop(links, more, first)
     out = classes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     out = out.join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),

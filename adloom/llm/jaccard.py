@@ -133,9 +133,12 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     return per_batch(docs.select("doc_id", "text"), start, "doc_id long, n long, node long")
 
 
-def _shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _shared_signatures(docs: DataFrame, first: DataFrame, words: int, percent: int) -> DataFrame:
     """sig, node, leader: the classes that share a signature, with the smallest of them.
 
+    Signatures are made for one document of each class (`first`: node, doc_id), so a group of exact copies
+    adds its signatures once, not once per copy.
+
     Signatures are made from the texts again instead of being kept, and are shuffled once: they are the
     largest thing this join makes. A key has at most one row per document of the hundreds each document
     has, and the window over it spills.
@@ -151,7 +154,8 @@ def _shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         return step
 
-    rows = per_batch(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), start, "sig long, node long")
+    one = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").join(first.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    rows = per_batch(one, start, "sig long, node long")
     same = Window.partitionBy("sig")
     rows = rows.select("sig", "node", F.min("node").over(same).alias("leader"), F.max("node").over(same).alias("_last"))
     return rows.filter("leader < _last").drop("_last").distinct()
@@ -269,7 +273,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     classes = steps.write(_classes(docs, words))
     named = classes.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     first = steps.write(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    shared = steps.write(_shared_signatures(docs, words, percent))
+    shared = steps.write(_shared_signatures(docs, first, words, percent))
     wanted = steps.write(shared.select("node").distinct().join(first, "node"))
     sets = steps.write(_sets(docs, wanted, words).dropDuplicates(["node"]))
     steps.drop(wanted)

@@ -66,7 +66,7 @@ def _seeds(docs: DataFrame, window: int) -> DataFrame:
 
         return step
 
-    return per_batch(_rows(docs), start, "doc_id long, fp string, digest binary, words int, seeds array<long>")
+    return per_batch(_rows(docs), start, "doc_id long, fp long, digest binary, words int, seeds array<long>")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -75,7 +75,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint(text: Column) -> Column:
-    return F.sha2(text, 256)
+    """64 bits: it only tells apart rows of one doc_id, and it travels with every looked-up window."""
+    return F.xxhash64(text)
 
 
 def _copies(seeded: DataFrame, window: int) -> DataFrame:
@@ -103,13 +104,13 @@ def _windows(marked: DataFrame, window: int) -> DataFrame:
                 checks.append((sequences(h, window, 1)[at] >> np.uint64(33)).astype(np.int32))
                 starts.append(at.astype(np.int32))
                 ids.append(np.full(len(at), doc, np.int64))
-                fps.extend([fp] * len(at))
-            return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in (keys, checks, ids, starts)], pa.array(fps, pa.string())],
+                fps.append(np.full(len(at), fp, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, checks, ids, starts, fps)],
                                               ["key", "check", "doc_id", "start", "fp"])
 
         return step
 
-    return per_batch(marked.select("doc_id", "fp", "text", "seeds"), start, "key long, check int, doc_id long, start int, fp string")
+    return per_batch(marked.select("doc_id", "fp", "text", "seeds"), start, "key long, check int, doc_id long, start int, fp long")
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -166,7 +167,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
 
         return step
 
-    parts = per_batch(grouped, start, "doc_id long, fp string, found array<struct<start:int,words:int,ref_doc:long>>")
+    parts = per_batch(grouped, start, "doc_id long, fp long, found array<struct<start:int,words:int,ref_doc:long>>")
     whole = copies.select("doc_id", "fp", F.array(F.struct(F.lit(0).alias("start"), "words", "ref_doc")).alias("found"))
     found = steps.write(parts.union(whole))
     steps.drop(windows)

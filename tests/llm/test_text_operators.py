@@ -343,6 +343,17 @@ def test_substring_repeated_doc_id_keeps_its_own_factors(spark):
     assert texts_ == [(1, 30, 1, "x"), (5, 0, 1, "x"), (5, 40, 1, "x")]
 
 
+def test_looked_up_windows_carry_no_text_marks(spark):
+    """The mark of a row goes through every shuffle of the windows: a fixed 8 bytes, and still one per text."""
+    a, b = prose(40), prose(40)
+    docs = spark.createDataFrame([(1, a + " " + b), (2, a), (2, b + " tail"), (2, None)], "doc_id long, text string")
+    found = substring.duplicate_factors(docs, 20)
+    assert dict(found.dtypes)["fp"] == "bigint"
+    got = {(r.doc_id, r.fp): [tuple(f) for f in r.found] for r in found.collect()}
+    marks = {r.text: r.fp for r in docs.select("text", substring.fingerprint(F.col("text")).alias("fp")).collect()}
+    assert got == {(2, marks[a]): [(0, 40, 1)], (2, marks[b + " tail"]): [(0, 40, 1)]}
+
+
 def test_toxicity_without_labels_keeps_every_row(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "z z z"), (2, "d e")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

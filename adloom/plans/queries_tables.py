@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
@@ -331,6 +332,10 @@ def _(f: Frames) -> DataFrame:
     return T.read_partitioned(f.spark, path, _SOCIAL)
 
 
+#: Rows of a landed file, about.
+FILE_ROWS = 500_000
+
+
 @query("streamed_range_pulls", "STM-03", sql("line_spend", f"""
   WITH d AS (SELECT customer_id, channel AS campaign, date, CAST(sum(spend) AS DECIMAL(28,4)) AS cost FROM line_spend GROUP BY 1, 2, 3)
   SELECT customer_id, campaign, {day('date')} AS date, CAST(cost * 0 AS DOUBLE) AS cost FROM d
@@ -345,6 +350,7 @@ def _(f: Frames) -> DataFrame:
     second. Newest complete pull per day wins; pull 2's last day is emptied."""
     spark = f.spark
     rows = _daily(f).select("customer_id", "campaign", "date", F.col("cost").cast("decimal(28,4)").alias("cost"))
+    rows = T.materialize(rows, "pull-days-in")  # landed by several pulls
     base = work_dir(spark, "pulls")
     landing, manifests, staging, markers, path = (f"{base}/{n}" for n in ("landing", "manifests", "staging", "markers", "table"))
     schema = StructType([*_SOCIAL.fields, StructField("pull_id", LongType())])
@@ -352,6 +358,8 @@ def _(f: Frames) -> DataFrame:
 
     def land(pull: int, df: DataFrame, chunk: int, parts: int) -> None:
         folder = f"{landing}/p{pull}-c{chunk}"
+        # files of at most FILE_ROWS rows, so that more rows are more files, not larger ones
+        parts = max(parts, math.ceil(df.count() / FILE_ROWS))
         df.withColumn("pull_id", F.lit(pull).cast("long")).repartition(parts).write.parquet(folder)
         files[pull] = files.get(pull, 0) + sum(1 for n in T.children(spark, folder) if n.endswith(".parquet"))
 

@@ -8,7 +8,8 @@ dies half-way can be run again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -85,20 +86,34 @@ def read_partitioned(spark: SparkSession, path: str, schema: StructType) -> Data
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+@contextmanager
+def adaptive(spark: SparkSession) -> Iterator[None]:
+    """Adaptive execution for a write: a stream turns it off in the session of its batches, where Spark would
+    drop the rebalance hint and sort whole input splits, however large, in one task each."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _write_partitions(df: DataFrame, path: str, partition: str, cluster: Sequence[str] = ()) -> None:
     """Replace exactly the partitions present in df.
 
     The rebalance hint lets adaptive execution gather each date into few files, merge small
     dates and split a date that holds most of the rows, all by measured size.
     """
-    (
-        df.hint("rebalance", F.col(partition))
-        .sortWithinPartitions(partition, *cluster)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    with adaptive(df.sparkSession):
+        (
+            df.hint("rebalance", F.col(partition))
+            .sortWithinPartitions(partition, *cluster)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(partition)
+            .parquet(path)
+        )
 
 
 class _Work:

@@ -36,16 +36,23 @@ EVENT = "pull_id long, file_key long, since date, until date, n_files long, pull
 DONE = "pull_id long, since date, until date, pulled_at timestamp"
 STATE = "files array<long>, since date, until date, n_files long, pulled_at timestamp, emitted boolean"
 VERSIONS = "_versions"
+#: Bytes of a landed file that one task stages, about.
+PIECE = 16 << 20
 
 
 def stage_files(stream: DataFrame, staging: str, markers: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Stage every landed file's rows, then mark the file; `stream` is a file stream with a pull_id column."""
-    keyed = stream.withColumn("file_key", F.xxhash64(F.col("_metadata.file_path")))
+    pieces = F.ceil(F.col("_metadata.file_size") / F.lit(PIECE))  # a large file is staged by several tasks
+    piece = F.pmod(F.xxhash64(*[F.col(c) for c in stream.columns]), F.greatest(pieces, F.lit(1)))
+    keyed = stream.withColumns({"file_key": F.xxhash64(F.col("_metadata.file_path")), "_piece": piece})
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("pull_id", "file_key").parquet(staging))
-        (batch.select("pull_id", "file_key").distinct().write.mode("overwrite")
+        # written as it comes first, so that the rows are dealt by measured size: no task sorts a whole large file
+        rows = T.materialize(batch, "pull-stage")
+        with T.adaptive(rows.sparkSession):
+            (rows.hint("rebalance", F.col("pull_id"), F.col("file_key"), F.col("_piece")).drop("_piece").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("pull_id", "file_key").parquet(staging))
+        (rows.select("pull_id", "file_key").distinct().write.mode("overwrite")
          .parquet(f"{markers}/batch={batch_id}"))
 
     return (keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -226,3 +226,48 @@ def test_upsert_index_follows_moves_and_reads_only_touched_buckets(spark):
     bucket = spark.createDataFrame([("k7",)], "id string").select(T.key_bucket(["id"])).first()[0]
     read = T.index_slice(spark, path, schema, ["id"], "day", [bucket]).inputFiles()
     assert read and all(f"/bucket={bucket}/" in f for f in read)
+
+
+@pytest.fixture
+def stream_session(spark):
+    """The settings of a stream's batches: adaptive execution off; small parts, so that little data makes several."""
+    now = {"spark.sql.adaptive.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {k: spark.conf.get(k) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_days_are_gathered_in_a_streams_session(stream_session, tmp_path):
+    spark = stream_session
+    rows = spark.range(0, 4_000, 1, 4).selectExpr("id", "date_add(DATE '2024-01-01', CAST(id % 20 AS INT)) AS date")
+    T._write_partitions(rows, str(tmp_path / "t"), "date")
+    assert len(list((tmp_path / "t").glob("date=*/*.parquet"))) == 20  # one of each, not one of each input part
+    assert spark.read.parquet(str(tmp_path / "t")).agg(F.countDistinct("id")).first()[0] == 4_000
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+
+
+def test_a_large_landed_file_is_staged_in_parts(stream_session, tmp_path, monkeypatch):
+    from adloom.streaming import pulls
+    from adloom.streaming.pulls import stage_files
+
+    monkeypatch.setattr(pulls, "PIECE", 64 << 10, raising=False)
+    spark = stream_session
+    landing, staging, markers = (str(tmp_path / n) for n in ("landing", "staging", "markers"))
+    rows = spark.range(0, 40_000, 1, 4).selectExpr("id", "uuid() AS note", "1L AS pull_id")
+    rows.write.parquet(landing)
+    stage_files(spark.readStream.schema(rows.schema).parquet(landing), staging, markers, str(tmp_path / "ckpt")).awaitTermination()
+    folders = list((tmp_path / "staging").glob("pull_id=1/file_key=*"))
+    assert len(folders) == 4 and all(len(list(f.glob("*.parquet"))) > 1 for f in folders)
+    assert spark.read.parquet(staging).agg(F.countDistinct("id")).first()[0] == 40_000
+    assert spark.read.parquet(markers).count() == 4
+
+
+def test_merged_partitions_are_small(spark):
+    from adloom.session import tune
+
+    tune(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # merged partitions are measured compressed; sorted keys and constant structs are about 20 times that in a task
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # keep join salting effective: never co-partition on a subset of the join keys
     "spark.sql.requireAllClusterKeysForCoPartition": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -2,12 +2,13 @@
 
 A document is the set of hashes of its word shingles; equal sets form a class, named by a hash of the
 set, and only classes are compared. Two sets with similarity t or more differ in at most
-(1 - t) / (1 + t) of their summed sizes, d tokens for a band of sizes. If the token space is dealt into
-d + g parts, at least g parts hold the same tokens in both, so two similar sets share the signature
-(hash of all tokens) of a part that is not empty, unless both have g empty parts; those are dealt once
-more with another seed, up to SCHEMES times, and the last time an empty part has a signature too.
-Hence every pair of linked classes shares a signature, while a frequent passage alone gives none: a
-part also holds the other tokens of a document.
+(1 - t) / (1 + t) of their summed sizes, d tokens. The token space is dealt into parts, the same for all
+sets of a band of sizes, and a set gives the signatures (hash of all tokens) of its first d + m parts that
+are not empty. The d differing tokens reach d parts at most, so of the set whose last signature comes
+first, m are the other's too. A set with fewer than d + m such parts is dealt once more with another seed,
+up to SCHEMES times, and the last time an empty part has a signature too. Hence two linked classes share
+at least m signatures of one deal, and a class that shares fewer with all others together has no link
+there: its rows of that deal go before any set is compared. So a few frequent passages alone lead nowhere.
 
 1. Classes that share a signature are compared with the smallest of them, a row per member. The links
    found give first components.
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adloom.llm.components import components
 from adloom.llm.hashes import mix, sequences, word_hashes
@@ -38,6 +39,7 @@ from adloom.llm.work import Steps
 
 RATIO = 1.25  # sizes of a band
 SCHEMES = 4
+DEAL_BITS = 9  # lowest bits of a signature: band and scheme
 BLOCK = 1 << 16  # tokens of a group, and of the queries that meet it in one call
 
 
@@ -57,20 +59,21 @@ def band_starts(limit: int = 1 << 40) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def parts_of(band: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(largest difference d, slack g) of two linked sets whose larger one is in the band.
+def parts_of(band: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(largest difference d, slack g, signatures m that a link shares) of sets whose larger one is in the band.
 
-    The smallest set that is dealt for a band leaves about k * exp(-n / k) of its k parts empty; the
-    slack is that and three deviations, so that few sets are dealt again.
+    The smallest set that is dealt for a band leaves about k * exp(-n / k) of its k = d + g parts empty;
+    the slack is that, two deviations and m, so that few sets are dealt again.
     """
     d = 2 * (starts[band + 1] - 1) * (100 - percent) // (100 + percent)
+    m = d // 10 + 1
     least = np.maximum(percent * starts[band] // 100, 1)
-    g = np.ones(len(d))
+    g = m.astype(float)
     for _ in range(30):
         empty = (d + g) * np.exp(-least / (d + g))
-        g = np.maximum(g, np.where(empty > 0.02, np.ceil(empty + 3 * np.sqrt(empty)), 1))
-        g = np.minimum(g, d + 1)
-    return d, g.astype(np.int64)
+        g = np.maximum(g, m + np.where(empty > 0.02, np.ceil(empty + 2 * np.sqrt(empty)), 0))
+        g = np.minimum(g, d + m)
+    return d, g.astype(np.int64), m
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -82,13 +85,15 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     reach = 100 * sizes[owner] >= percent * starts[band + 1]
     owner, band = np.concatenate([owner, owner[reach]]), np.concatenate([band, band[reach] + 1])
     got: list[list[np.ndarray]] = [[] for _ in sets]
-    d, g = parts_of(band, starts, percent)
-    live = d > 0  # no difference allowed: only equal sets are linked, and they are one class
-    owner, band, d, g = owner[live], band[live], d[live], g[live]
+    d, g, m = parts_of(band, starts, percent)
+    # what this set and a linked one of the band can differ in, and the signatures it gives
+    largest = np.minimum(100 * sizes[owner] // percent, starts[band + 1] - 1)
+    own = (sizes[owner] + largest) * (100 - percent) // (100 + percent)
+    live = own > 0  # no difference allowed: only equal sets are linked, and they are one class
+    owner, band, k, give = owner[live], band[live], (d + g)[live], (own + m)[live]
     for scheme in range(SCHEMES):
         if not len(owner):
             break
-        k = d + g
         n = sizes[owner]
         row = np.repeat(np.arange(len(owner)), n)
         flat = mix(np.concatenate([sets[o] for o in owner]) ^ np.uint64(scheme * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1))
@@ -100,20 +105,33 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
         sums = np.add.reduceat(mix(flat)[order], first)
         used = sorted_part[first]
         whose = np.searchsorted(offset, used, "right") - 1
-        place = mix(((band[whose].astype(np.uint64) * np.uint64(SCHEMES) + np.uint64(scheme)) << np.uint64(40)) + (used - offset[whose]).astype(np.uint64))
-        sig = mix(sums ^ place)
+        deal = (band * SCHEMES + scheme).astype(np.uint64)
+        place = mix((deal[whose] << np.uint64(40)) + (used - offset[whose]).astype(np.uint64))
+        sig = mix(sums ^ place) << np.uint64(DEAL_BITS) | deal[whose]
         filled = np.bincount(whose, minlength=len(owner))
         bounds = np.concatenate([[0], np.cumsum(filled)])
-        again = k - filled >= g
+        again = filled < give
         for i, o in enumerate(owner):
-            got[o].append(sig[bounds[i]: bounds[i + 1]])
+            got[o].append(sig[bounds[i]: min(bounds[i + 1], bounds[i] + give[i])])
             if again[i] and scheme == SCHEMES - 1:
                 empty = np.setdiff1d(np.arange(k[i]), used[bounds[i]: bounds[i + 1]] - offset[i])
-                got[o].append(mix(mix(empty.astype(np.uint64) + np.uint64(int(band[i]) << 40)) + np.uint64(77)))
-        owner, band, d, g = owner[again], band[again], d[again], g[again]
+                got[o].append(mix(mix(empty.astype(np.uint64) + (deal[i] << np.uint64(40))) + np.uint64(77)) << np.uint64(DEAL_BITS) | deal[i])
+        owner, band, k, give = owner[again], band[again], k[again], give[again]
     return [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in got]
 
 
+def deal_of(sig: Column) -> Column:
+    """Band and scheme of a signature."""
+    return sig.bitwiseAND((1 << DEAL_BITS) - 1)
+
+
+def shared_by_link(sig: Column, percent: int) -> Column:
+    """How many signatures of this one's deal two linked classes share at least."""
+    starts = band_starts()
+    least = parts_of(np.arange(len(starts) - 1), starts, percent)[2]
+    return F.get(F.lit(least.tolist()), F.floor(deal_of(sig) / SCHEMES).cast("int"))
+
+
 def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -134,7 +152,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """sig, node, leader: the classes that share a signature, with the smallest of them.
+    """sig, node: the classes that share a signature.
 
     Signatures are made from the texts again instead of being kept, and are shuffled once: they are the
     largest thing this join makes. A key has at most one row per document of the hundreds each document
@@ -152,9 +170,21 @@ def _shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return step
 
     rows = per_batch(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), start, "sig long, node long")
+    return _of_several(rows).select("sig", "node").distinct()
+
+
+def _of_several(rows: DataFrame) -> DataFrame:
+    """The rows (sig, node) whose signature has several classes, with the smallest of them as leader."""
     same = Window.partitionBy("sig")
     rows = rows.select("sig", "node", F.min("node").over(same).alias("leader"), F.max("node").over(same).alias("_last"))
-    return rows.filter("leader < _last").drop("_last").distinct()
+    return rows.filter("leader < _last").drop("_last")
+
+
+def _enough_shared(shared: DataFrame, percent: int) -> DataFrame:
+    """sig, node, leader: the rows of classes that share as many signatures of a deal as a link needs."""
+    count = F.count(F.lit(1)).over(Window.partitionBy("node", deal_of(F.col("sig"))))
+    rows = shared.select("sig", "node", count.alias("_count"))
+    return _of_several(rows.filter(F.col("_count") >= shared_by_link(F.col("sig"), percent)).drop("_count"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -269,7 +299,9 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     classes = steps.write(_classes(docs, words))
     named = classes.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     first = steps.write(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    shared = steps.write(_shared_signatures(docs, words, percent))
+    met = steps.write(_shared_signatures(docs, words, percent))
+    shared = steps.write(_enough_shared(met, percent))
+    steps.drop(met)
     wanted = steps.write(shared.select("node").distinct().join(first, "node"))
     sets = steps.write(_sets(docs, wanted, words).dropDuplicates(["node"]))
     steps.drop(wanted)

@@ -6,6 +6,9 @@ to further clusters whose distance is within a ratio of the nearest one, unless
 closer to that centroid than the vector is. A query walks a neighbour graph over the centroids, held in
 memory by every task, and reads those lists whose centroid lies within a ratio of the closest distance up
 to which the lists own k + 1 vectors. A vector is owned by its nearest list alone, so that many are distinct.
+A list costs each of its readers rows, so lists are made coarser until queries read about `READS`; clustered
+vectors keep fine lists. Scores of a block come from one matrix product; those that can be among the k best
+are computed again in one order of summing.
 
 Largest inner product becomes smallest distance by one more component: sqrt(M^2 - |x|^2), M the largest
 norm; 0 for queries. Of equal vectors only the `k + 1` smallest ids can be in any answer, so the others
@@ -35,8 +38,12 @@ CLOSE = 1.25  # distance ratio of replicas
 DEGREE = 16  # links of a centroid
 BEAM = 96  # centroids a walk keeps at least, besides all it meets within PRUNE
 PRUNE = 1.45  # distance ratio of lists a query reads
-BLOCK = 2_048  # vectors of a list in one call
-QUERIES = 256  # queries of a list in one call
+READS = 64  # lists a query may read on average before lists are made coarser
+TRIAL = 128  # sampled vectors whose reads are counted for that
+BLOCK = 8_192  # vectors of a list in one call
+QUERIES = 4_096  # queries of a list in one call
+SCORED = 256  # of them in one matrix product
+PAIRS = 65_536  # pairs scored again at once
 
 
 @dataclass
@@ -106,11 +113,11 @@ class Lists:
         return out
 
 
-def fit_lists(sample: np.ndarray, count: int, top: float) -> Lists:
-    """Centroids of about count / LIST balanced clusters of distinct vectors, and their graph."""
+def fit_lists(sample: np.ndarray, count: int, top: float, wanted: int | None = None) -> Lists:
+    """Centroids of about `wanted` (else count / LIST) balanced clusters of distinct vectors, and their graph."""
     lists = Lists(np.zeros((0, 0)), np.zeros((0, 0), int), top)
     x = lists.lift(sample, False)
-    k = max(1, min(CENTROIDS, math.ceil(count / LIST), len(x)))
+    k = max(1, min(CENTROIDS, wanted or math.ceil(count / LIST), len(x)))
     rng = np.random.default_rng(7)
     c = x[rng.choice(len(x), k, replace=False)]
     spread = float(x.var(axis=0).sum())
@@ -132,6 +139,48 @@ def fit_lists(sample: np.ndarray, count: int, top: float) -> Lists:
     return Lists(c, np.hstack([near, ring, np.roll(np.arange(k), 1)[:, None]]) if k > 1 else np.zeros((1, 0), int), top)
 
 
+def pruning_lists(sample: np.ndarray, count: int, top: float, need: int) -> Lists:
+    """Lists as fine as they pay: where sampled queries read more than READS of them, fewer are made.
+
+    Which distances a query reads is the same for any number of lists; only the pieces it reads are larger.
+    """
+    lists = fit_lists(sample, count, top)
+    while len(lists.centroids) > READS:
+        c, x = lists.centroids, lists.lift(sample, False)
+        nearest_list = ((c ** 2).sum(1)[None] - 2 * x @ c.T).argmin(axis=1)
+        owned = np.bincount(nearest_list, minlength=len(c)) * count / len(x)
+        reads = np.mean([len(lists.read(q, owned, need)) for q in lists.lift(sample[:TRIAL], True)])
+        if reads <= READS:
+            break
+        lists = fit_lists(sample, count, top, min(len(c) - 1, max(READS, int(len(c) * READS / reads))))
+    return lists
+
+
+def best_pairs(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector and score of the k best vectors of each query, its own id left out; ties to smaller ids.
+
+    A matrix product leaves out what is surely worse than the k best by its rounding; the rest is scored
+    in one order of summing, so that equal vectors get equal scores.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = q @ m.T
+        near[np.isnan(near)] = np.inf
+        near[query_ids[:, None] == ids[None]] = -np.inf
+        floor = np.full(len(q), -np.inf)
+        if len(ids) > k:
+            rounding = 16 * np.finfo(float).eps * q.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(m, axis=1).max() + 1e-300
+            floor = np.partition(near, -k, axis=1)[:, -k] - rounding
+            floor[~np.isfinite(floor)] = -np.inf
+        row, col = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
+        score = np.concatenate([np.zeros(0), *[(m[col[i: i + PAIRS]] * q[row[i: i + PAIRS]]).sum(axis=1) for i in range(0, len(row), PAIRS)]])
+    keep = score > -np.inf
+    row, col, score = row[keep], col[keep], score[keep]
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return query_ids[row[keep]], ids[col[keep]], score[keep]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v of the rows that take part: an id, no null or non-finite component, not zero, and of
     the most frequent length (the smaller length on ties)."""
@@ -164,7 +213,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMP
     kept = steps.write(rows.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1))
     # one row of each vector: a common one would start many centroids at one point
     picked = kept.filter("_copy = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
-    lists = fit_lists(_matrix(picked), kept.count(), float(top))
+    lists = pruning_lists(_matrix(picked), kept.count(), float(top), k + 1)
 
     def post() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -206,15 +255,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMP
                                               F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(queries) and len(members):
+            query_ids, q = queries["query_id"].to_numpy(), _matrix(queries["q"])
             ids, m = members["vec_id"].to_numpy(), _matrix(members["v"])
-            for query_id, q in zip(queries["query_id"], _matrix(queries["q"])):
-                score = (m * q).sum(axis=1)  # one order of summing: equal vectors get equal scores
-                score[ids == query_id] = -np.inf
-                best = np.lexsort((ids, -score))[: k]
-                out += [(query_id, int(ids[b]), float(score[b])) for b in best if score[b] > -np.inf]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            out += [best_pairs(query_ids[i: i + SCORED], q[i: i + SCORED], ids, m, k) for i in range(0, len(q), SCORED)]
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out))})
 
     found = query.groupBy("q_list", "q_block", "q_turn").cogroup(member.groupBy("list", "block", "turn")).applyInPandas(
         compare, "query_id long, vec_id long, score double")
